@@ -1,7 +1,6 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded (case, accents, homoglyphs, digits and signs that stand for
-letters), matched against the lexicon by one Aho-Corasick automaton, and scored
+Texts are folded (case, homoglyphs, digits and signs that stand for letters), matched against the lexicon by one Aho-Corasick automaton, and scored
 by the summed weights of the matches outside exception phrases, normalised by
 length. The lexicon (whole words and word beginnings, with log odds ratios as
 weights), the exception phrases and the scale are fitted on labelled rows.
@@ -9,8 +8,6 @@ weights), the exception phrases and the scale are fitted on labelled rows.
 
 from __future__ import annotations
 
-import math
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,12 +36,6 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 def _fold_table() -> dict[int, str | None]:
     table: dict[int, str | None] = {}
-    for c in range(0xC0, 0x250):  # Latin letters with marks
-        base = unicodedata.normalize("NFD", chr(c))[0]
-        if base.isascii() and base.isalpha():
-            table[c] = base.lower()
-    for c in range(0x300, 0x370):  # the marks by themselves
-        table[c] = None
     for c in range(0x2000, 0x2070):  # general punctuation
         table[c] = " "
     for c in range(0xFF21, 0xFF3B):  # full width letters
@@ -101,14 +92,14 @@ def strength(words: list[bytes], automaton: ahocorasick.Automaton) -> tuple[floa
     best: dict[int, float] = {}
     for start, weight in found:  # of entries that begin at one word, the strongest
         best[start] = max(weight, best.get(start, 0.0))
-    return sum(best.values()) / math.log2(2 + len(words) / 64), len(best)
+    return sum(best.values()) / (1 + len(words) / 1000) ** 0.25, len(best)
 
 
 def _features(words: list[bytes]) -> set[bytes]:
     distinct = set(words)
-    out = {b" %s " % w for w in distinct if 3 <= len(w) <= 24}
-    for n in (4, 5, 6):
-        out.update(b" " + w[:n] for w in distinct if len(w) > n)
+    out = {b" %s " % w for w in distinct if len(w) <= 32}
+    for word in (w.decode("utf-8", "replace") for w in distinct):
+        out.update(f" {word[:n]}".encode() for n in range(3, min(8, len(word))))
     return out
 
 
