@@ -49,6 +49,9 @@ class Chunks:
             raise ValueError("not a word-end BPE file")
         self.word = regex.compile(split["pattern"]["Regex"])
         self.space = regex.compile(r"\p{White_Space}+")
+        # letters and digits that only newer Unicode tables know are signs to the file's library
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.newer = {ord(c): "\ufdd0" for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
 
@@ -60,7 +63,10 @@ class Chunks:
     def words(self, chunk: str) -> list[str]:
         text = unicodedata.normalize("NFC", chunk)
         # letter by letter, so without the final form of sigma
-        return self.word.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        if text.isascii() or (marked := text.translate(self.newer)) == text:
+            return self.word.findall(text)
+        return [text[m.start() : m.end()] for m in self.word.finditer(marked)]
 
     def parts(self, chunk: str) -> Iterator[tuple[int | None, list[str]]]:
         """(id, []) of special tokens in the chunk, (None, words) of the rest."""

@@ -17,7 +17,7 @@ from gondola.llm.runtime import drop_written, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (src, dst: long) to (node, root), equal roots for a component.
+    """``edges`` (src, dst: long or binary) to (node, root), equal roots for a component.
 
     Nodes without edges are not listed; loops, repeated edges and edges in both
     directions do no harm; edges with a null end are left out. Which member is

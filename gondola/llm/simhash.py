@@ -12,6 +12,11 @@ of a spanning forest, never all pairs. Larger buckets are split again by the sam
 masks laid over the bits that their key leaves free, which keeps the guarantee,
 until all buckets are small: distinct fingerprints that agree in all but f bits
 are 2^f at most.
+
+A similarity of 0.8 is a radius of about 15 % of the bits, for which one set of
+masks would be far too large. :func:`similar_documents` takes wide fingerprints in
+blocks: of a pair within ``blocks * (block_radius + 1) - 1`` bits some block
+differs in ``block_radius`` bits at most, so the masks of that block collide.
 """
 
 from __future__ import annotations
@@ -77,17 +82,18 @@ def _signed(x: int) -> int:
 
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the fingerprints within the radius."""
+    """Edges (places in ``fps``, a row of 64-bit words each) of a spanning forest of
+    the fingerprints within the radius."""
     left, src, dst = np.arange(len(fps)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
-            for x in left[near].tolist():
-                src.append(int(fps[at]))
-                dst.append(int(fps[x]))
-                queue.append(x)
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1) <= radius
+            found = left[near].tolist()
+            src += [int(at)] * len(found)
+            dst += found
+            queue += found
             left = left[~near]
     return src, dst
 
@@ -101,9 +107,9 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
         src, dst = [], []
         for group in np.split(fp, cut):
-            a, b = _forest(group, radius)
-            src += a
-            dst += b
+            a, b = _forest(group[:, None], radius)
+            src += group[a].tolist()
+            dst += group[b].tolist()
         return pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     for batch in batches:
@@ -169,10 +175,147 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, key: str = "do
     rows = written(fingerprints(docs, k, key, text), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
     edges = near_edges(nodes.select("fp"), radius)
+    return rows.join(_named(nodes, edges), "fp").select(key, "fp", "component_id")
+
+
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of all ``nodes`` (fp, first)."""
     roots = components(edges).select(F.col("node").alias("fp"), "root")
     linked = written(nodes.join(roots, "fp"), "linked")
     least = written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    moved = linked.join(least, "root").select("fp", "component_id")
-    alone = nodes.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    named = written(moved.unionByName(alone), "named")
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    moved = linked.join(least, "root").select("fp", "component_id", "root")
+    alone = nodes.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"), F.col("fp").alias("root"))
+    return written(moved.unionByName(alone), "named")
+
+
+WORDS_WIDE = 3  # 64-bit words of a wide fingerprint
+
+
+def wide_fingerprint(text: bytes | None, k: int = 5, block_bits: int = 28) -> bytes:
+    """Six blocks of ``block_bits`` majority bits in 32 bits each. The bits are
+    those of the XXH3-128 of all k-word shingles and of a mix of its halves."""
+    words = text.translate(LOWER).split() if text else []
+    if not words:
+        return bytes(8 * WORDS_WIDE)
+    line, digest = b" ".join(words), xxhash.xxh3_128_digest
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[: max(0, len(words) - k)] + 1).tolist()]
+    hashes = b"".join([digest(line[a:b]) for a, b in zip(starts, ends[min(k, len(words)) - 1 :].tolist(), strict=True)])
+    counts = np.zeros(64 * WORDS_WIDE, np.int64)
+    at_byte = np.arange(8 * WORDS_WIDE, dtype=np.int32) * 256
+    for at in range(0, len(hashes), 1 << 20):
+        pair = np.frombuffer(hashes[at : at + (1 << 20)], "<u8").reshape(-1, 2)
+        mixed = (pair[:, 0] ^ (pair[:, 1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + pair[:, 1] * np.uint64(0xBF58476D1CE4E5B9)
+        rows = np.c_[pair, mixed ^ (mixed >> np.uint64(32))].view(np.uint8)
+        tally = np.bincount((rows + at_byte).ravel(), minlength=len(at_byte) * 256).reshape(-1, 256)
+        counts += (tally @ _BYTE_BITS).ravel()
+    bits = np.packbits(2 * counts > len(hashes) // 16).view("<u4") & np.uint32((1 << block_bits) - 1)
+    return bits.tobytes()
+
+
+def _cell_edges(fps: np.ndarray, keys: np.ndarray, radius: int, cap: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges of every bucket of equal keys. Buckets of up to ``cap`` are first
+    looked through for links, all of them at once, a shift at a time."""
+    order = np.argsort(keys, kind="stable")
+    fps, keys = fps[order], keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[first, len(keys)])
+    bucket = np.repeat(np.arange(len(first)), size)
+    after = np.repeat(first + size, size) - np.arange(len(keys)) - 1
+    hit = size > cap
+    after[hit[bucket]] = 0
+    at, step = np.flatnonzero(after >= 1), 1
+    while len(at):
+        near = np.bitwise_count(fps[at] ^ fps[at + step]).sum(1) <= radius
+        hit[bucket[at[near]]] = True
+        step += 1
+        at = at[after[at] >= step]
+    src, dst = [], []
+    for b in np.flatnonzero(hit).tolist():
+        a, c = _forest(fps[first[b] : first[b] + size[b]], radius)
+        src += [first[b] + x for x in a]
+        dst += [first[b] + x for x in c]
+    return fps[np.array(src, np.int64)], fps[np.array(dst, np.int64)]
+
+
+def wide_edges(fps: DataFrame, radius: int, block_bits: int = 28, block_radius: int = 4, per_cell: int = 500_000) -> DataFrame:
+    """Edges (src, dst) between distinct wide fingerprints ``fps`` (fp: binary). The
+    components are those of the graph of all pairs at most ``radius`` bits apart.
+
+    A table of a block's mask is cut by its keys' hash into cells of about
+    ``per_cell`` fingerprints; a cell's fingerprints come packed to one task.
+    """
+    blocks = 2 * WORDS_WIDE
+    if radius >= blocks * (block_radius + 1):
+        raise ValueError("the blocks don't cover this radius")
+    tables = [(j, m) for j in range(blocks) for m in masks((1 << block_bits) - 1, block_radius)]
+    parts = max(1, -(-fps.count() // per_cell))
+
+    def keys_of(x: np.ndarray, table: int) -> np.ndarray:
+        j, mask = tables[table]
+        return x.view("<u4")[:, j] & np.uint32(mask)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = np.frombuffer(b"".join(held), "<u8").reshape(-1, WORDS_WIDE)
+            for t in range(len(tables)):
+                part = (keys_of(x, t).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+                cells, blobs = [], []
+                for p in np.unique(part).tolist():
+                    cells.append(t * parts + p)
+                    blobs.append(x[part == p].tobytes())
+                yield pa.record_batch([pa.array(cells, pa.int32()), pa.array(blobs, pa.binary())], ["cell", "blob"])
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            if len(held) >= 100_000:
+                yield from flush()
+                held = []
+        if held:
+            yield from flush()
+
+    def pair_up(cell: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(cell["blob"].to_pylist()), "<u8").reshape(-1, WORDS_WIDE)
+        a, b = _cell_edges(x, keys_of(x, cell["cell"][0].as_py() // parts), radius)
+        kind = pa.binary(8 * WORDS_WIDE)
+        flat = [pa.FixedSizeBinaryArray.from_buffers(kind, len(y), [None, pa.py_buffer(np.ascontiguousarray(y).tobytes())]) for y in (a, b)]
+        return pa.table([x.cast(pa.binary()) for x in flat], names=["src", "dst"])
+
+    dealt = fps.select("fp").mapInArrow(deal, "cell int, blob binary")
+    return dealt.groupBy("cell").applyInArrow(pair_up, "src binary, dst binary")
+
+
+def similar_documents(docs: DataFrame, k: int = 5, radius: int = 27, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Like :func:`near_duplicates`, for the similarity of k-word shingle sets: links
+    are wide fingerprints (168 bits) at most ``radius`` bits apart.
+
+    Two sets of like size with Jaccard similarity s differ in
+    ``168 * acos(2 s / (1 + s)) / pi`` bits on average: 25 at 0.8. Returns each row's
+    key with ``text_hash`` (of its whole text), ``component_id`` and ``root``, equal for a component;
+    nulls, empty texts, repeated rows and empty tables as there.
+    """
+    hashed = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("text_hash"))
+    schema = hashed.select(key, "text_hash", F.lit(None).cast("binary").alias("fp")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_fingerprint(t, k) for t in utf8(batch.column(1))]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(made, pa.binary())], [key, "text_hash", "fp"])
+
+    rows = written(hashed.mapInArrow(run, schema), "wide-fingerprints")
+    nodes = written(rows.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
+    return rows.join(_named(nodes, wide_edges(nodes, radius)), "fp").select(key, "text_hash", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, k: int = 5, radius: int = 27, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near copies: of each component of :func:`similar_documents`
+    the row with the smallest key; of rows of that key the one with the smallest text hash, once."""
+    found = similar_documents(docs, k, radius, key, text)
+    mine = found.where(F.col(key).eqNullSafe(F.col("component_id")))
+    keep = written(mine.groupBy("root").agg(F.min(F.struct(F.col("text_hash").alias("h"), F.col(key).alias("id"))).alias("m"), F.count("*").alias("n")).select("m.h", "m.id", "n"), "kept")
+    kept = docs.join(keep.select("h", "id"), F.col(key).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left_semi")
+    if keep.where("n > 1").isEmpty():
+        return kept
+    return kept.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).drop("_h")
