@@ -49,9 +49,7 @@ class Chunks:
             raise ValueError("not a word-end BPE file")
         self.word = regex.compile(split["pattern"]["Regex"])
         self.space = regex.compile(r"\p{White_Space}+")
-        # letters and digits that only newer Unicode tables know are signs to the file's library
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        self.newer = {ord(c): "\ufdd0" for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"}
+        self.pattern = split["pattern"]["Regex"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
 
@@ -61,12 +59,19 @@ class Chunks:
         return text.split()
 
     def words(self, chunk: str) -> list[str]:
+        if not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk):
+            return self._words_of_newer(chunk)
         text = unicodedata.normalize("NFC", chunk)
         # letter by letter, so without the final form of sigma
-        text = text.replace("Σ", "σ").lower()
-        if text.isascii() or (marked := text.translate(self.newer)) == text:
-            return self.word.findall(text)
-        return [text[m.start() : m.end()] for m in self.word.finditer(marked)]
+        return self.word.findall(text.replace("Σ", "σ").lower())
+
+    def _words_of_newer(self, chunk: str) -> list[str]:
+        """Of characters that this Python's Unicode tables don't know: what they are is
+        for the tables of the tokenizers library to say."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        text = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(chunk)
+        return [x for x, _ in pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True).pre_tokenize_str(text)]
 
     def parts(self, chunk: str) -> Iterator[tuple[int | None, list[str]]]:
         """(id, []) of special tokens in the chunk, (None, words) of the rest."""
