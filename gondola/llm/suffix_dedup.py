@@ -198,9 +198,16 @@ def sort_block(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.nda
     keys = np.zeros((len(at), 8 * words), np.uint8)
     keys[:, :length] = np.lib.stride_tricks.sliding_window_view(blob, length)[at]
     keys = keys.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+    # by the first word, ties by a name of the whole: equal strings become neighbours
+    name = window_hashes(blob, length)[at] if len(blob) else np.empty(0, np.uint64)
+    order = np.lexsort((name, keys[:, 0]))
+    by_name, name = keys[order], name[order]
+    other = (by_name[1:] != by_name[:-1]).any(1)
+    if (other & (name[1:] == name[:-1]) & (by_name[1:, 0] == by_name[:-1, 0])).any():
+        order = np.lexsort(keys.T[::-1])  # two strings of one name: by all words
+        by_name = keys[order]
+        other = (by_name[1:] != by_name[:-1]).any(1)
+    first = np.flatnonzero(np.r_[True, other])
     owner = np.repeat(ids, counts)[order]
     least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.r_[first, len(at)]))
     out = np.empty(len(at), np.int64)
