@@ -165,22 +165,45 @@ class LibraryEncoder:
             self.cut = Chunks(json.load(f))
         top = self.library.get_vocab_size(with_added_tokens=True)
         self.width = 2 if top <= 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
+        # an added token that stands for itself only is taken out before all else
+        plain = [x for x in self.library.get_added_tokens_decoder().items() if not (x[1].normalized or x[1].lstrip or x[1].rstrip or x[1].single_word)]
+        self.border: tuple[int, str] | None = next(((i, x.content) for i, x in plain), None)
         self.seen: dict[str, bytes] = {}
         self.cache = cache
 
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        codes = self.library.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(c.ids, self.kind).tobytes() for c in codes]
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, none of which holds an added token, by one call."""
+        code, mark = self.border
+        ids = np.array(self.library.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        cuts, raw = (np.flatnonzero(ids == code) * self.width).tolist(), ids.tobytes()
+        if len(cuts) != len(pieces) - 1:
+            raise ValueError("an added token inside a piece")
+        return [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)], strict=True)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        odd = [c for c in pieces if self.border is None or self.cut.specials.search(c)] if self.cut.special else pieces
+        even = list(set(pieces).difference(odd)) if odd else pieces
+        for some, encode in ((odd, self._apart), (even, self._joined)):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                self.seen.update(zip(part, encode(part), strict=True))
+
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """The ids of each text with the end id, ``width`` bytes each."""
-        kind = "<u2" if self.width == 2 else "<u4"
         cut = [self.cut.chunks(t) if t else [] for t in texts]
-        if len(self.seen) > self.cache:
-            self.seen.clear()
-        new = list({c for chunks in cut for c in chunks if c not in self.seen})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, code in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[chunk] = np.array(code.ids, kind).tobytes()
-        end, seen = np.array([end_id], kind).tobytes(), self.seen
-        return [b"".join([seen[c] for c in chunks]) + end for chunks in cut]
+        here, old = set().union(*cut), self.seen
+        new = list(here.difference(old))
+        if len(old) + len(new) > self.cache:  # the frequent pieces are among these
+            self.seen = {c: old[c] for c in here.intersection(old)}
+        self._learn(new)
+        end, ids = np.array([end_id], self.kind).tobytes(), self.seen.__getitem__
+        return [b"".join(map(ids, chunks)) + end for chunks in cut]
 
 
 @lru_cache(maxsize=2)
