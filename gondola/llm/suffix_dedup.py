@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -61,8 +62,17 @@ def modulus(length: int) -> int:
     return max(fit)
 
 
-def window_hashes(a: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the n bytes from each position (fewer at the end: any value)."""
+def window_hashes(a: np.ndarray, n: int, block: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of the n bytes from each position (fewer at the end: any value).
+    Made a block at a time, which bounds the memory beside the result."""
+    out = np.empty(len(a), np.uint64)
+    for at in range(0, len(a), block):
+        end = min(at + block, len(a))
+        out[at:end] = _block_hashes(a[at : end + n - 1], n)[: end - at]
+    return out
+
+
+def _block_hashes(a: np.ndarray, n: int) -> np.ndarray:
     parts, power = [], np.uint64(0x9E3779B97F4A7C15)
     h, width, need = a.astype(np.uint64), 1, n
     h += np.uint64(1)
@@ -185,6 +195,15 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
 
 
+def _differ(keys: np.ndarray, order: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Whether each row in this order differs from the one before it (but the first)."""
+    out = np.empty(max(len(order) - 1, 0), bool)
+    for at in range(0, len(out), block):
+        rows = keys[order[at : at + block + 1]]
+        out[at : at + block] = (rows[1:] != rows[:-1]).any(1)
+    return out
+
+
 def sort_block(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For every suffix of ``length`` bytes or more of distinct texts, in order of the
     texts: the smallest id of a text that has its first ``length`` bytes. Also the
@@ -197,16 +216,16 @@ def sort_block(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.nda
     words = -(-length // 8)
     keys = np.zeros((len(at), 8 * words), np.uint8)
     keys[:, :length] = np.lib.stride_tricks.sliding_window_view(blob, length)[at]
-    keys = keys.view(">u8").astype(np.uint64)
+    keys = keys.view(np.uint64)
+    if sys.byteorder == "little":
+        keys.byteswap(inplace=True)
     # by the first word, ties by a name of the whole: equal strings become neighbours
     name = window_hashes(blob, length)[at] if len(blob) else np.empty(0, np.uint64)
     order = np.lexsort((name, keys[:, 0]))
-    by_name, name = keys[order], name[order]
-    other = (by_name[1:] != by_name[:-1]).any(1)
-    if (other & (name[1:] == name[:-1]) & (by_name[1:, 0] == by_name[:-1, 0])).any():
+    other, name, word = _differ(keys, order), name[order], keys[order, 0]
+    if (other & (name[1:] == name[:-1]) & (word[1:] == word[:-1])).any():
         order = np.lexsort(keys.T[::-1])  # two strings of one name: by all words
-        by_name = keys[order]
-        other = (by_name[1:] != by_name[:-1]).any(1)
+        other = _differ(keys, order)
     first = np.flatnonzero(np.r_[True, other])
     owner = np.repeat(ids, counts)[order]
     least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.r_[first, len(at)]))
@@ -308,19 +327,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     n_names = max(4 * parts, total * len(COVERS[v]) // v // BUCKET_SAMPLES)
     n_runs = max(4 * parts, total // BUCKET_BYTES)
 
+    def sampled(path: str) -> pa.RecordBatch:
+        s = Segment(path, key, text, length)
+        found, bucket, place = s.sample_names(n_names)
+        ids = s.ids[s.doc[s.samples]]
+        low, high = np.full(len(found), _LAST, np.int64), np.full(len(found), np.iinfo(np.int64).min)
+        np.minimum.at(low, place, ids)
+        np.maximum.at(high, place, ids)
+        several = low < high
+        cuts = _cuts(bucket)
+        short = found.astype(np.uint32)
+        return pa.record_batch([pa.array([path] * len(cuts), pa.string()), pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([short[x:y].tobytes() for _, x, y in cuts], pa.binary()), pa.array([_bits(several[x:y]) for _, x, y in cuts], pa.binary())], ["segment", "bucket", "names", "several"])
+
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch["segment"].to_pylist():
-                s = Segment(path, key, text, length)
-                found, bucket, place = s.sample_names(n_names)
-                ids = s.ids[s.doc[s.samples]]
-                low, high = np.full(len(found), _LAST, np.int64), np.full(len(found), np.iinfo(np.int64).min)
-                np.minimum.at(low, place, ids)
-                np.maximum.at(high, place, ids)
-                several = low < high
-                cuts = _cuts(bucket)
-                short = found.astype(np.uint32)
-                yield pa.record_batch([pa.array([path] * len(cuts), pa.string()), pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([short[x:y].tobytes() for _, x, y in cuts], pa.binary()), pa.array([_bits(several[x:y]) for _, x, y in cuts], pa.binary())], ["segment", "bucket", "names", "several"])
+                yield sampled(path)  # one segment is held at a time
 
     def opened(rows: pa.Table):
         """A segment's candidates, from its path and the replies so far."""
