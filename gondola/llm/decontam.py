@@ -59,15 +59,17 @@ def _index(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
         return pa.record_batch([pa.array([row[0]]), *[pa.array([x], pa.binary()) for x in row[1:]]], names)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            found = tokens(text)
-            ids.append(doc_id)
-            words += found
-            lengths.append(len(found))
-            size += len(text or b"") + 16
-            if size >= SEGMENT_BYTES:
-                yield flush()
-                ids, words, lengths, size = [], [], [], 0
+        for at in range(0, batch.num_rows, 256):  # few texts at a time as objects
+            part = batch.slice(at, 256)
+            for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                found = tokens(text)
+                ids.append(doc_id)
+                words += found
+                lengths.append(len(found))
+                size += len(text or b"") + 16
+                if size >= SEGMENT_BYTES:
+                    yield flush()
+                    ids, words, lengths, size = [], [], [], 0
     if ids:
         yield flush()
 
@@ -146,7 +148,8 @@ def _windows(items: list[tuple[str, bytes | None]], size: int) -> list[tuple[str
 def _search(batches: Iterator[pa.RecordBatch], items, size: int, slop: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
     opened = _windows(items.value, size)
     for batch in batches:
-        for row in batch.to_pylist():
+        for nth in range(batch.num_rows):
+            row = batch.slice(nth, 1).to_pylist()[0]  # one segment as objects at a time
             segment = Segment(row)
             edge = np.zeros(segment.starts[-1] + 1, np.int32)
             hits: list[set[str]] = [set() for _ in segment.doc_ids]
