@@ -22,6 +22,7 @@ differs in ``block_radius`` bits at most, so the masks of that block collide.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from gondola.llm.components import components
 from gondola.llm.runtime import LOWER, drop_written, utf8, written
+from gondola.llm.shingle_sets import similar_sets
 
 BITS = 64
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -309,10 +311,16 @@ def similar_documents(docs: DataFrame, k: int = 5, radius: int = 27, key: str =
     return rows.join(_named(nodes, wide_edges(nodes, radius)), "fp").select(key, "text_hash", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, k: int = 5, radius: int = 27, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, radius: int = 27, key: str = "doc_id", text: str = "text", similarity: Fraction | None = None) -> DataFrame:
     """``docs`` without near copies: of each component of :func:`similar_documents`
-    the row with the smallest key; of rows of that key the one with the smallest text hash, once."""
-    found = similar_documents(docs, k, radius, key, text)
+    the row with the smallest key; of rows of that key the one with the smallest text hash, once.
+    With ``similarity``, links are all pairs of shingle sets of that Jaccard similarity
+    or more, exactly, and ``radius`` counts for nothing."""
+    if similarity is None:
+        found = similar_documents(docs, k, radius, key, text)
+    else:
+        rows, nodes, edges = similar_sets(docs, k, similarity, key, text)
+        found = rows.join(_named(nodes.select("fp", "first"), edges), "fp").select(key, "text_hash", "component_id", "root")
     mine = found.where(F.col(key).eqNullSafe(F.col("component_id")))
     keep = written(mine.groupBy("root").agg(F.min(F.struct(F.col("text_hash").alias("h"), F.col(key).alias("id"))).alias("m"), F.count("*").alias("n")).select("m.h", "m.id", "n"), "kept")
     kept = docs.join(keep.select("h", "id"), F.col(key).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left_semi")
