@@ -195,14 +195,14 @@ WORDS_WIDE = 3  # 64-bit words of a wide fingerprint
 
 def wide_fingerprint(text: bytes | None, k: int = 5, block_bits: int = 28) -> bytes:
     """Six blocks of ``block_bits`` majority bits in 32 bits each. The bits are
-    those of the XXH3-128 of all k-word shingles and of a mix of its halves."""
+    those of the XXH3-128 of the distinct k-word shingles and of a mix of its halves."""
     words = text.translate(LOWER).split() if text else []
     if not words:
         return bytes(8 * WORDS_WIDE)
     line, digest = b" ".join(words), xxhash.xxh3_128_digest
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: max(0, len(words) - k)] + 1).tolist()]
-    hashes = b"".join([digest(line[a:b]) for a, b in zip(starts, ends[min(k, len(words)) - 1 :].tolist(), strict=True)])
+    hashes = b"".join({digest(line[a:b]) for a, b in zip(starts, ends[min(k, len(words)) - 1 :].tolist(), strict=True)})
     counts = np.zeros(64 * WORDS_WIDE, np.int64)
     at_byte = np.arange(8 * WORDS_WIDE, dtype=np.int32) * 256
     for at in range(0, len(hashes), 1 << 20):

@@ -1,4 +1,5 @@
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -111,3 +112,20 @@ def test_copies_are_found_and_others_left(spark, rows_of):
         docs += [(2 * g, " ".join(words)), (2 * g + 1, edited(words, 1, rng))]
     kept = rows_of(simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")))
     assert sorted(r["doc_id"] for r in kept) == list(range(0, 120, 2))
+
+
+def test_wide_fingerprints_count_a_shingle_once():
+    rng = np.random.default_rng(11)
+    line, far = " ".join(f"l{x}" for x in range(15)), []
+    for _ in range(20):  # a line repeated, else different: set similarity below 0.1
+        a, b = ((f"{line} " * 20 + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 100))).encode() for _ in range(2))
+        x, y = (int.from_bytes(simhash.wide_fingerprint(t)) for t in (a, b))
+        far.append((x ^ y).bit_count())
+    assert min(far) > 27
+
+
+def test_a_repeated_line_deletes_no_documents(spark, rows_of):
+    line = " ".join(f"l{x}" for x in range(15))
+    docs = [(i, f"{line} " * 20 + " ".join(f"d{i}x{x}" for x in range(100))) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(rows_of(simhash.keep_one(df))) == len(rows_of(simhash.keep_one(df, similarity=Fraction(4, 5)))) == 12
