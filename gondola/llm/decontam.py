@@ -14,8 +14,8 @@ simply run again.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +45,7 @@ def _segment(ids: list[int | None], words: list[bytes], lengths: list[int]) -> l
     known = np.array([x if x is not None else 0 for x in ids], np.int64)
     missing = np.array([x is None for x in ids], bool)
     parts = [known.tobytes(), np.packbits(missing).tobytes(), np.array(lengths, np.int32).tobytes(), b" ".join(first), sizes.astype(np.int32).tobytes(), np.diff(order, prepend=np.int32(0)).tobytes()]
-    return [hashlib.md5(b"".join(parts)).hexdigest(), *parts]
+    return [uuid.uuid4().hex, *parts]  # not of the content: segments may be equal
 
 
 def _index(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:

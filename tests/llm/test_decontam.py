@@ -65,3 +65,13 @@ def test_proximity(spark, rows_of):
     index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
     found = rows_of(decontam.search(index, spark.createDataFrame([("q", "alpha beta gamma")], "item_id string, text string"), slop=5))
     assert sorted(r["doc_id"] for r in found if r["item_ids"]) == [1, 3]
+
+
+def test_equal_segments_keep_their_rows(spark, rows_of):
+    docs, items, d, i = fixture(spark)
+    expected = sorted(2 * brute(docs, [("null" if n is None else n, t) for n, t in items]))
+    twice = spark.createDataFrame(spark.sparkContext.parallelize(docs + docs, 2), d.schema)
+    index = decontam.build_index(twice)
+    assert index.count() == 2
+    for block_bytes in (16, decontam.BLOCK_BYTES):
+        assert flat(rows_of(decontam.contamination(decontam.search(index, i, block_bytes=block_bytes)))) == expected
