@@ -1,15 +1,17 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-:func:`build_index` stores the token postings of the corpus as a table: a row
-is a segment of whole documents with its own vocabulary and, term by term, the
-positions of each term. :func:`search` takes benchmark texts against it. For
-each phrase a segment starts from the term with the shortest posting list,
-shifts every further list by its term's offset and intersects, rarest first;
-what remains are the exact places. Proximity search keeps the places of the
-rarest term near which all other terms occur.
-
-Segments are independent, so a search needs no shuffle and a lost task is
-simply run again.
+:func:`build_index` stores the token postings of the corpus in segment files in
+the shared folder: a segment has whole documents, its own vocabulary and, term by
+term, the positions of each term. :func:`search` takes benchmark texts against
+it. For each phrase a segment starts from the term with the shortest posting
+list, shifts every further list by its term's offset and intersects, rarest
+first; what remains are the exact places. Proximity search keeps the places of
+the rarest term near which all other terms occur.
+
+Only the names of files travel between tasks. A task holds one segment and one
+block of the benchmark at a time, so memory depends on neither table's size;
+segments are independent, so a search needs no shuffle of postings, and a lost
+task is simply run again.
 """
 
 from __future__ import annotations
@@ -17,84 +19,93 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.runtime import WORDS, utf8, written
+from gondola.llm.runtime import new_path, open_table, spread, store_table, tokens, utf8, written
 
-#: Text bytes of a segment, and of the benchmark block that a search broadcasts.
-SEGMENT_BYTES = 8 << 20
-BLOCK_BYTES = 8 << 20
+#: Text bytes of a segment, and of a block of the benchmark.
+SEGMENT_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
 
-INDEX_SCHEMA = "segment string, doc_ids binary, null_ids binary, lengths binary, terms binary, sizes binary, gaps binary"
 
-
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of A-Z lower-cased text; none for null."""
-    return text.translate(WORDS).split() if text else []
-
-
-def _segment(ids: list[int | None], words: list[bytes], lengths: list[int]) -> list[bytes | str]:
-    first: dict[bytes, int] = {}
-    seen = np.fromiter(map(first.setdefault, words, itertools.count()), np.int32, len(words))
+def _segment(ids: list[int | None], places: list[np.ndarray], lengths: list[int], terms: dict[bytes, int]) -> pa.Table:
+    seen = np.concatenate([np.empty(0, np.int32), *places])
     order = np.argsort(seen, kind="stable").astype(np.int32)  # positions, term by term
-    sizes = np.bincount(seen, minlength=1)[list(first.values())] if words else np.empty(0, np.int64)
+    sizes = np.bincount(seen, minlength=1)[list(terms.values())] if len(seen) else np.empty(0, np.int64)
     known = np.array([x if x is not None else 0 for x in ids], np.int64)
     missing = np.array([x is None for x in ids], bool)
-    parts = [known.tobytes(), np.packbits(missing).tobytes(), np.array(lengths, np.int32).tobytes(), b" ".join(first), sizes.astype(np.int32).tobytes(), np.diff(order, prepend=np.int32(0)).tobytes()]
-    return [uuid.uuid4().hex, *parts]  # not of the content: segments may be equal
-
-
-def _index(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    parts = {
+        "doc_ids": known.tobytes(),
+        "null_ids": np.packbits(missing).tobytes(),
+        "lengths": np.array(lengths, np.int32).tobytes(),
+        "terms": b" ".join(terms),
+        "sizes": sizes.astype(np.int32).tobytes(),
+        "gaps": np.diff(order, prepend=np.int32(0)).tobytes(),
+    }
+    return pa.table({k: pa.array([v], pa.large_binary()) for k, v in parts.items()})
+
+
+def _index(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatch]:
     ids: list[int | None] = []
-    words: list[bytes] = []
+    places: list[np.ndarray] = []  # words as the place where their term was first seen
     lengths: list[int] = []
-    size = 0
+    terms: dict[bytes, int] = {}
+    size = n = 0
 
     def flush() -> pa.RecordBatch:
-        row = _segment(ids, words, lengths)
-        return pa.record_batch([pa.array([row[0]]), *[pa.array([x], pa.binary()) for x in row[1:]]], names)
+        path = f"{out}/{uuid.uuid4().hex}.arrow"  # not of the content: segments may be equal
+        store_table(path, _segment(ids, places, lengths, terms))
+        return pa.record_batch([pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], ["segment", "n_docs", "size"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):  # few texts at a time as objects
             part = batch.slice(at, 256)
             for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-                found = tokens(text)
-                ids.append(doc_id)
-                words += found
-                lengths.append(len(found))
-                size += len(text or b"") + 16
-                if size >= SEGMENT_BYTES:
+                more = len(text or b"") + 16
+                if ids and size + more > SEGMENT_BYTES:
                     yield flush()
-                    ids, words, lengths, size = [], [], [], 0
+                    ids, places, lengths, terms, size, n = [], [], [], {}, 0, 0
+                before = n
+                for found in tokens(text):
+                    places.append(np.fromiter(map(terms.setdefault, found, itertools.count(n)), np.int32, len(found)))
+                    n += len(found)
+                ids.append(doc_id)
+                lengths.append(n - before)
+                size += more
     if ids:
         yield flush()
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The postings table, written in the shared folder.
+    """The list of segments (segment: path, n_docs, size), written in the shared folder
+    like the segments.
 
     Every row of ``docs`` is in one segment, whatever its key: null and repeated
     keys and null or empty texts included. A document longer than a segment's
     size has a segment to itself. Keys are integers; other columns are ignored.
+    Files of a task that was lost are not in the list.
     """
-    names = [x.split()[0] for x in INDEX_SCHEMA.split(", ")]
-    return written(docs.select(F.col(key).cast("long"), text).mapInArrow(lambda it: _index(it, names), INDEX_SCHEMA), "postings")
+    out = new_path(docs.sparkSession, "postings")
+    return written(docs.select(F.col(key).cast("long"), text).mapInArrow(lambda it: _index(it, out), "segment string, n_docs long, size long"), "segment-list")
 
 
 class Segment:
-    """A row of the index, opened."""
+    """A segment file, opened."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, path: str) -> None:
+        table = open_table(path)
+        row = {c: table[c][0].as_buffer() for c in table.column_names}
         self.lengths = np.frombuffer(row["lengths"], np.int32)
         known = np.frombuffer(row["doc_ids"], np.int64)
-        missing = np.unpackbits(np.frombuffer(row["null_ids"], np.uint8), count=len(known))
-        self.doc_ids = [None if m else k for k, m in zip(known.tolist(), missing.tolist(), strict=True)]
+        missing = np.unpackbits(np.frombuffer(row["null_ids"], np.uint8), count=len(known)).astype(bool)
+        self.doc_ids = pa.array(known, mask=missing)
         self.starts = np.r_[0, np.cumsum(self.lengths, dtype=np.int64)]
-        self.terms = {t: i for i, t in enumerate(row["terms"].split())}
+        self.terms = dict(zip(row["terms"].to_pybytes().split(), itertools.count()))
         self.ends = np.cumsum(np.frombuffer(row["sizes"], np.int32), dtype=np.int64)
         self.begins = np.r_[0, self.ends[:-1]]
         self.positions = np.cumsum(np.frombuffer(row["gaps"], np.int32), dtype=np.int32)
@@ -119,9 +130,9 @@ class Segment:
             place = np.searchsorted(other, at + offset)
             place[place == len(other)] = 0
             at = at[other[place] == at + offset]
+        at = at[at >= 0]
         if len(at):
-            first = self.doc_of(at)
-            at = at[(at >= 0) & (at + len(ids) <= self.starts[first + 1])]
+            at = at[at + len(ids) <= self.starts[self.doc_of(at) + 1]]
         return at
 
     def near(self, ids: np.ndarray, slop: int) -> np.ndarray:
@@ -140,81 +151,96 @@ class Segment:
         return at
 
 
-def _windows(items: list[tuple[str, bytes | None]], size: int) -> list[tuple[str, list[bytes]]]:
-    """Each distinct item's words; those without words have no window."""
-    return [(name, words) for name, text in items if (words := tokens(text))]
+def _blocks(batches: Iterator[pa.RecordBatch], out: str, size: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Benchmark items as block files of lines. An item larger than a block is cut
+    so that each of its windows is whole in one of the lines."""
+    names: list[str] = []
+    lines: list[bytes] = []
+    held = 0
 
+    def flush() -> pa.RecordBatch:
+        path = f"{out}/{uuid.uuid4().hex}.arrow"
+        store_table(path, pa.table({"name": pa.array(names), "line": pa.array(lines, pa.large_binary())}))
+        return pa.record_batch([pa.array([path])], ["block"])
 
-def _search(batches: Iterator[pa.RecordBatch], items, size: int, slop: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
-    opened = _windows(items.value, size)
     for batch in batches:
         for nth in range(batch.num_rows):
-            row = batch.slice(nth, 1).to_pylist()[0]  # one segment as objects at a time
-            segment = Segment(row)
-            edge = np.zeros(segment.starts[-1] + 1, np.int32)
-            hits: list[set[str]] = [set() for _ in segment.doc_ids]
-            for name, words in opened:
+            name, text = batch.column(0)[nth].as_py(), batch.column(1)[nth].as_py()
+            words, step = [w for part in tokens(text) for w in part], max(1, block_bytes // 8)
+            for at in range(0, max(1, len(words) - size + 1) if words else 0, step):
+                line = b" ".join(words[at : at + step + size - 1])
+                if held + len(line) + len(name) > block_bytes and names:
+                    yield flush()
+                    names, lines, held = [], [], 0
+                names.append(name)
+                lines.append(line)
+                held += len(line) + len(name)
+    if names:
+        yield flush()
+
+
+@lru_cache(maxsize=1)
+def _block(path: str) -> list[tuple[str, list[bytes]]]:
+    table = open_table(path)
+    return [(name, line.split()) for name, line in zip(table["name"].to_pylist(), table["line"].to_pylist(), strict=True)]
+
+
+def _search(batches: Iterator[pa.RecordBatch], blocks: list[str], size: int, slop: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+        segment = Segment(path)
+        edge = np.zeros(segment.starts[-1] + 1, np.int32)
+        hits: dict[int, set[str]] = {}
+        for block in blocks:
+            for name, words in _block(block):
                 ids = segment.ids(words)
                 n = min(size, len(ids))
                 absent = np.r_[0, np.cumsum(ids < 0)]
                 for at in np.flatnonzero(absent[n:] == absent[:-n]).tolist():
-                    if slop is None:
-                        places = segment.phrase(ids[at : at + n])
-                        long = n
-                    else:
-                        places, long = segment.near(ids[at : at + n], slop), 1
+                    places, long = (segment.phrase(ids[at : at + n]), n) if slop is None else (segment.near(ids[at : at + n], slop), 1)
                     if len(places):
                         np.add.at(edge, places, 1)
                         np.add.at(edge, places + long, -1)
                         for doc in np.unique(segment.doc_of(places)).tolist():
-                            hits[doc].add(name)
-            covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            doc = segment.doc_of(covered)
-            inside = np.split((covered - segment.starts[doc]).astype(np.int32), np.searchsorted(doc, np.arange(1, len(hits))))
-            columns = [
-                pa.array([row["segment"]] * len(hits)),
-                pa.array(range(len(hits)), pa.int32()),
-                pa.array(segment.doc_ids, pa.int64()),
-                pa.array(segment.lengths, pa.int64()),
-                pa.array([x.tolist() for x in inside], pa.list_(pa.int32())),
-                pa.array([sorted(x) for x in hits], pa.list_(pa.string())),
-            ]
-            yield pa.record_batch(columns, names)
+                            hits.setdefault(doc, set()).add(name)
+        covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        doc, n_docs = segment.doc_of(covered), len(segment.doc_ids)
+        limits = np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32)
+        columns = [
+            pa.array([path] * n_docs, pa.string()),
+            pa.array(np.arange(n_docs, dtype=np.int32)),
+            segment.doc_ids,
+            pa.array(segment.lengths.astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(limits), pa.array((covered - segment.starts[doc]).astype(np.int32))),
+            pa.array([sorted(hits.get(d, ())) for d in range(n_docs)], pa.list_(pa.string())),
+        ]
+        whole = pa.record_batch(columns, names)
+        for at in range(0, n_docs, 10_000):
+            yield whole.slice(at, 10_000)
 
 
 def search(index: DataFrame, benchmark: DataFrame, size: int = 13, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per indexed document: doc_id, n_words, hit_words (the places of words inside
-    matches), item_ids (strings, sorted, of the items that match).
+    matches), item_ids (strings, sorted, of the items that match), segment, ord.
 
     A window is ``size`` words of an item in a row; shorter items are one window,
     items without words none. ``slop`` None: exact phrases. Else proximity: the
     rarest word of a window counts where all others occur at most slop words away.
     Null item ids are called "null"; repeated items count once. An empty benchmark
-    gives no hits, an empty index no rows. The benchmark is broadcast where its
-    measured size is one block at most; else its blocks are searched in turn and
-    merged per document.
+    gives no hits, an empty index no rows. Each segment meets the benchmark's
+    block files (``block_bytes`` each) one after the other in one task, so the
+    benchmark may have any size and no result is put together later.
     """
     spark: SparkSession = index.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.length("text") + F.length("name"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
-    block = items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)))
+    out = new_path(spark, "benchmark")
+    dealt = items.repartition(-(-total // block_bytes) or 1)
+    stored = written(dealt.mapInArrow(lambda it: _blocks(it, out, size, block_bytes), "block string"), "block-list")
+    blocks = [r.block for r in stored.orderBy("block").collect()]  # a name for each few megabytes of benchmark
     schema = "segment string, ord int, doc_id long, n_words long, hit_words array<int>, item_ids array<string>"
     names = [x.split()[0] for x in schema.split(", ")]
-    out = None
-    for b in range(n_blocks):
-        part = [(r.name, bytes(r.text) if r.text is not None else None) for r in block.where(F.col("block") == b).collect()]
-        held = spark.sparkContext.broadcast(part)
-        found = index.mapInArrow(lambda it, held=held: _search(it, held, size, slop, names), schema)
-        out = found if out is None else out.unionByName(found)
-    if n_blocks > 1:
-        out = out.groupBy("segment", "ord").agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        )
-    return out.select("doc_id", "n_words", "hit_words", "item_ids", "segment", "ord")
+    found = spread(index.select("segment")).mapInArrow(lambda it: _search(it, blocks, size, slop, names), schema)
+    return found.select("doc_id", "n_words", "hit_words", "item_ids", "segment", "ord")
 
 
 def contamination(found: DataFrame, share: int = 20) -> DataFrame:

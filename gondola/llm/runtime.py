@@ -1,14 +1,24 @@
-"""What the operators share: the shared folder, written tables, text as bytes."""
+"""What the operators share: the shared folder, written tables and files, text as bytes.
+
+Whatever an operator writes there lies in one folder of the application. Tables
+that nothing reads any more are deleted at once where that is known; what lazy
+results may still read goes when the application ends (:func:`clear`).
+"""
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_USED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder in the shared one."""
+    top = f"{shared_dir(spark)}/gondola-{spark.sparkContext.applicationId}"
+    if not _USED:
+        atexit.register(clear)
+    _USED.add(top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def clear() -> None:
+    """Delete the folders of this process's applications; run when it ends."""
+    while _USED:
+        system, inner = fs.FileSystem.from_uri(_USED.pop())
+        if system.get_file_info(inner).type == fs.FileType.Directory:
+            system.delete_dir(inner)
+
+
+def store_table(path: str, table: pa.Table) -> None:
+    """An Arrow file in the shared folder, written by a task."""
+    system, inner = fs.FileSystem.from_uri(path)
+    system.create_dir(os.path.dirname(inner), recursive=True)
+    with system.open_output_stream(inner) as sink, ipc.new_file(sink, table.schema, options=ipc.IpcWriteOptions(compression="zstd")) as f:
+        f.write_table(table)
+
+
+def open_table(path: str) -> pa.Table:
+    system, inner = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(inner) as f:
+        return ipc.open_file(pa.BufferReader(f.read())).read_all()
+
+
+def spread(paths: DataFrame, each: int = 16) -> DataFrame:
+    """Rows that name files, dealt to tasks of ``each`` files or so, but to several
+    tasks a core where there are few."""
+    n = paths.count()
+    cores = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.repartition(max(1, -(-n // each), min(n, 4 * cores)))
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -69,5 +113,17 @@ def _word_table() -> bytes:
 #: text with A-Z lower-cased, apart by spaces.
 WORDS = _word_table()
 
+
+
+def tokens(text: bytes | None, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text (null: none), a list for each ``piece`` bytes or so."""
+    line, at = (text or b"").translate(WORDS), 0
+    while at < len(line):
+        end = line.find(b" ", at + piece) if len(line) - at > piece else -1
+        end = end if end >= 0 else len(line)
+        yield line[at:end].split()
+        at = end
+
+
 #: For bytes.translate: A-Z lower-cased, nothing else changed.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
