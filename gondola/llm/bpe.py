@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -50,7 +52,10 @@ class Chunks:
         self.word = regex.compile(split["pattern"]["Regex"])
         self.space = regex.compile(r"\p{White_Space}+")
         self.pattern = split["pattern"]["Regex"]
+        self.letters = r"[\p{L}]+" in self.pattern  # a piece of letters is one word
+        self.assigned: set[str] = set()  # characters that this Python's Unicode tables know
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.mark = os.path.commonprefix([*self.special])
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
 
     def chunks(self, text: str) -> list[str]:
@@ -59,8 +64,14 @@ class Chunks:
         return text.split()
 
     def words(self, chunk: str) -> list[str]:
-        if not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk):
-            return self._words_of_newer(chunk)
+        if chunk.isascii():
+            text = chunk.lower()
+            return [text] if self.letters and text.isalpha() else self.word.findall(text)
+        if not self.assigned.issuperset(chunk):
+            known = {c for c in chunk if unicodedata.category(c) != "Cn"}
+            self.assigned |= known
+            if not known.issuperset(chunk):
+                return self._words_of_newer(chunk)
         text = unicodedata.normalize("NFC", chunk)
         # letter by letter, so without the final form of sigma
         return self.word.findall(text.replace("Σ", "σ").lower())
@@ -75,6 +86,9 @@ class Chunks:
 
     def parts(self, chunk: str) -> Iterator[tuple[int | None, list[str]]]:
         """(id, []) of special tokens in the chunk, (None, words) of the rest."""
+        if self.mark not in chunk:
+            yield None, self.words(chunk)
+            return
         at = 0
         for m in self.specials.finditer(chunk):
             yield None, self.words(chunk[at : m.start()])
@@ -83,10 +97,52 @@ class Chunks:
         yield None, self.words(chunk[at:])
 
 
+class Known(dict):
+    """What ``make`` gives for a string, kept for up to ``limit`` short ones."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = made
+        return made
+
+
+class Pieces:
+    """Ids of texts by their pieces between white space: each new piece is cut into
+    words, and each new word goes to ``word``. ``code`` is an id's struct format."""
+
+    def __init__(self, cut: Chunks, word: Callable[[str], list[int]], code: str, cache: int) -> None:
+        self.cut, self.code = cut, code
+        self.words = Known(lambda w: self.packed(word(w)), cache)
+        self.pieces = Known(self._piece, cache)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        words = self.words
+        if self.cut.mark not in piece:
+            return b"".join([words[w] for w in self.cut.words(piece)])
+        return b"".join([b"".join([words[w] for w in found]) if special is None else self.packed([special]) for special, found in self.cut.parts(piece)])
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut.chunks(text))) if text else b""
+
+
+def byte_line(word: str, byte: list[str]) -> str:
+    """A word as the vocabulary writes it, a printable character for each byte."""
+    return word if word.isascii() and word.isprintable() else "".join([byte[b] for b in word.encode()])
+
+
 class Bpe:
     """An encoder and decoder for a tokenizers file of BPE with word ends."""
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 600_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -118,8 +174,7 @@ class Bpe:
             names[token] = text.encode()
         self.texts = np.frombuffer(b"".join(n + b" " for n in names), np.uint8)
         self.offsets = np.r_[0, np.cumsum([len(n) + 1 for n in names])]
-        self.seen: dict[str, bytes] = {}
-        self.cache = cache
+        self.pieces = Pieces(self.cut, self.word, "I", cache)
 
     def _compatible(self, a: int, b: int, limit: int) -> bool:
         """No merge across the border of a and b is due before ``limit`` and before
@@ -164,7 +219,7 @@ class Bpe:
 
     def word(self, word: str) -> list[int]:
         """The ids of one word of the pre-tokenizer."""
-        line = "".join([self.byte[b] for b in word.encode()]) + _END
+        line = byte_line(word, self.byte) + _END
         n, fits = len(line), self.fits
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (length, token) in self.tokens.iter(line):
@@ -195,31 +250,9 @@ class Bpe:
                 at = ends.pop()
         return out
 
-    def chunk(self, chunk: str) -> bytes:
-        """The ids of a piece between white space, as little-endian 32-bit words."""
-        ids: list[int] = []
-        for special, words in self.cut.parts(chunk):
-            if special is not None:
-                ids.append(special)
-            for word in words:
-                ids += self.word(word)
-        return np.array(ids, "<u4").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none), as little-endian 32-bit words."""
-        if not text:
-            return b""
-        seen, out = self.seen, []
-        for chunk in self.cut.chunks(text):
-            ids = seen.get(chunk)
-            if ids is None:
-                ids = self.chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(seen) >= self.cache:
-                        seen.clear()
-                    seen[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.pieces.encode(text)
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text of little-endian ids: the tokens' texts, apart by spaces."""

@@ -27,11 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.runtime import new_path, written
+from gondola.llm.bpe import Chunks, Pieces, byte_characters, byte_line
+from gondola.llm.runtime import new_path, spread, written
 
 MAGIC = b"GNDLTOK1"
 _HEAD = struct.Struct("<8s7Q")
 SHARD_TOKENS = 8 << 20
+#: Text bytes of a range partition at most, on average.
+PARTITION_BYTES = 128 << 20
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -144,66 +147,29 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct piece between spaces.
+    """The tokenizers library's model, asked once for each distinct word.
 
     For files whose pre-tokenizer never crosses white space (checked by
-    ``bpe.Chunks``) the pieces' ids end to end are the text's ids.
+    ``bpe.Chunks``) the pieces between spaces are looked up whole; a new piece is cut
+    into the lower-cased words that the model sees, and only new words are encoded.
     """
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 600_000) -> None:
         import json
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
 
-        from gondola.llm.bpe import Chunks
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        library, byte = Tokenizer.from_file(path), byte_characters()
+        self.width = 2 if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        model = library.model
         with open(path, encoding="utf-8") as f:
-            self.cut = Chunks(json.load(f))
-        top = self.library.get_vocab_size(with_added_tokens=True)
-        self.width = 2 if top <= 1 << 16 else 4
-        self.kind = "<u2" if self.width == 2 else "<u4"
-        # an added token that stands for itself only is taken out before all else
-        plain = [x for x in self.library.get_added_tokens_decoder().items() if not (x[1].normalized or x[1].lstrip or x[1].rstrip or x[1].single_word)]
-        self.border: tuple[int, str] | None = next(((i, x.content) for i, x in plain), None)
-        self.seen: dict[str, bytes] = {}
-        self.cache = cache
-
-    def _apart(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece."""
-        codes = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(c.ids, self.kind).tobytes() for c in codes]
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, none of which holds an added token, by one call."""
-        code, mark = self.border
-        ids = np.array(self.library.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, self.kind)
-        cuts, raw = (np.flatnonzero(ids == code) * self.width).tolist(), ids.tobytes()
-        if len(cuts) != len(pieces) - 1:
-            raise ValueError("an added token inside a piece")
-        return [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)], strict=True)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        odd = [c for c in pieces if self.border is None or self.cut.specials.search(c)] if self.cut.special else pieces
-        even = list(set(pieces).difference(odd)) if odd else pieces
-        for some, encode in ((odd, self._apart), (even, self._joined)):
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
-                self.seen.update(zip(part, encode(part), strict=True))
+            cut = Chunks(json.load(f))
+        self.pieces = Pieces(cut, lambda w: [t.id for t in model.tokenize(byte_line(w, byte))], "H" if self.width == 2 else "I", cache)
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """The ids of each text with the end id, ``width`` bytes each."""
-        cut = [self.cut.chunks(t) if t else [] for t in texts]
-        here, old = set().union(*cut), self.seen
-        new = list(here.difference(old))
-        if len(old) + len(new) > self.cache:  # the frequent pieces are among these
-            self.seen = {c: old[c] for c in here.intersection(old)}
-        self._learn(new)
-        end, ids = np.array([end_id], self.kind).tobytes(), self.seen.__getitem__
-        return [b"".join(map(ids, chunks)) + end for chunks in cut]
+        end = self.pieces.packed([end_id])
+        return [self.pieces.encode(t) + end for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -232,8 +198,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, out: str | None =
 
     Null and empty texts are the end id alone. Documents of a null key come first.
     Repeated keys are all stored; one key's many rows may span shards. An empty
-    table gives no files and an empty manifest. A lost task writes its files anew
-    under new names; the manifest lists those of the attempt that counted.
+    table gives no files and an empty manifest; columns besides key and text are
+    ignored, whatever their names. A lost task writes its files anew under new
+    names; the manifest lists those of the attempt that counted.
     """
     out = out or new_path(docs.sparkSession, "token-shards")
     names = [x.split()[0] for x in MANIFEST.split(", ")]
@@ -265,7 +232,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, out: str | None =
             yield flush()
 
     kinds = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partitions of bounded size, whatever the size of the whole
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     # the text's hash spreads the rows of one hot key over partitions
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     dealt = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie")
@@ -297,5 +266,4 @@ def read_tokens(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 sizes = (shard.offsets[1:] - shard.offsets[:-1])[rows]
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(base + shard.offsets[:-1][rows]), pa.array(sizes), pa.array(crc, pa.int64())], names)
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(parts).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return spread(shards).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
