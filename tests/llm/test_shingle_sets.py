@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gondola.llm import shingle_sets
+from gondola.llm import shingle_sets, simhash
 
 
 def grams(text, k=5):
@@ -54,9 +54,10 @@ def test_pairs_around_the_threshold(spark, rows_of):
     assert stage(spark, docs, rows_of) == sorted([2 * g for g in range(150)] + [2 * g + 1 for g in range(150) if seen[g] < Fraction(4, 5)])
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 18])
-def test_hot_groups_and_chains(spark, rows_of, monkeypatch, limit):
-    monkeypatch.setattr(shingle_sets, "OFTEN", limit or 1)
+@pytest.mark.parametrize(("block", "star_from"), [(512, 4096), (7, 20)])
+def test_hot_groups_and_chains(spark, rows_of, monkeypatch, block, star_from):
+    exact = shingle_sets.exact_links
+    monkeypatch.setattr(simhash, "exact_links", lambda *a: exact(*a, block=block, star_from=star_from))
     rng = np.random.default_rng(4)
     line, base = [f"l{x}" for x in range(30)], [f"b{x}" for x in range(120)]
     docs = [(1000 + i, " ".join(line + [f"d{i}x{x}" for x in range(20)])) for i in range(60)]  # a common line, else different
