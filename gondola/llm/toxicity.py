@@ -2,8 +2,9 @@
 
 Texts are folded (case, homoglyphs, digits and signs that stand for letters), matched against the lexicon by one Aho-Corasick automaton, and scored
 by the summed weights of the matches outside exception phrases, normalised by
-length. The lexicon (whole words and word beginnings, with log odds ratios as
-weights), the exception phrases and the scale are fitted on labelled rows.
+length. The lexicon (whole words and word beginnings, with log odds ratios of their
+rates as weights), the exception phrases (words that begin like an entry, and pairs
+of words, of clean texts) and the scale are fitted on labelled rows.
 """
 
 from __future__ import annotations
@@ -57,82 +58,110 @@ def fold(text: str | None) -> list[bytes]:
 
 @dataclass
 class Lexicon:
-    """entries: (" word " or " beginning", weight); exceptions: " two words "."""
+    """entries: (" word " or " beginning", weight); exceptions: " word " or " two words ".
+
+    Entries of a weight below 1 are faint: too rare to be sure of, they tell apart texts
+    that have no others, and are not counted as matches. ``left_out`` counts what would have been entries or exceptions but for the limit.
+    """
 
     entries: dict[bytes, float] = field(default_factory=dict)
     exceptions: list[bytes] = field(default_factory=list)
     slope: float = 1.0
     offset: float = -4.0
+    left_out: int = 0
 
     def automaton(self) -> ahocorasick.Automaton:
+        """Patterns with (length, weight, places of the words that they exempt)."""
         out = ahocorasick.Automaton()
-        for phrase in self.exceptions:
-            out.add_word(phrase.decode("latin-1"), (len(phrase), None))
         for pattern, weight in self.entries.items():
-            out.add_word(pattern.decode("latin-1"), (len(pattern), weight))
+            out.add_word(pattern.decode("latin-1"), (len(pattern), weight, ()))
+        for phrase in self.exceptions:
+            exempt = tuple(i for i, c in enumerate(phrase[:-1]) if c == 32)
+            out.add_word(phrase.decode("latin-1"), (len(phrase), self.entries.get(phrase, 0.0), exempt))
         if len(out):
             out.make_automaton()
         return out
 
 
 def strength(words: list[bytes], automaton: ahocorasick.Automaton) -> tuple[float, int]:
-    """Summed weights normalised by length, and the number of matches."""
+    """Summed weights for each word (50 words are added to every text), and the number
+    of matches."""
     if not words or not len(automaton):
         return 0.0, 0
     line = b" %s " % b" ".join(words)
-    found, free = [], []
-    for end, (length, weight) in automaton.iter(line.decode("latin-1")):
+    best: dict[int, float] = {}  # of entries that begin at one word, the strongest
+    free: set[int] = set()
+    for end, (length, weight, exempt) in automaton.iter(line.decode("latin-1")):
         start = end - length + 1
-        if weight is None:
-            free.append((start, end))
-        else:
-            found.append((start, weight))
-    if free:
-        found = [x for x in found if not any(a <= x[0] < b for a, b in free)]
-    best: dict[int, float] = {}
-    for start, weight in found:  # of entries that begin at one word, the strongest
-        best[start] = max(weight, best.get(start, 0.0))
-    return sum(best.values()) / (1 + len(words) / 1000) ** 0.25, len(best)
-
-
-def _features(words: list[bytes]) -> set[bytes]:
-    distinct = set(words)
-    out = {b" %s " % w for w in distinct if len(w) <= 32}
-    for word in (w.decode("utf-8", "replace") for w in distinct):
-        out.update(f" {word[:n]}".encode() for n in range(3, min(8, len(word))))
+        free.update(start + i for i in exempt)
+        if weight:
+            best[start] = max(weight, best.get(start, 0.0))
+    kept = [w for start, w in best.items() if start not in free]
+    return sum(kept) / (len(words) + 50), sum(w >= 1 for w in kept)
+
+
+def _features(words: list[bytes]) -> Counter:
+    times = Counter(words)
+    out = Counter({b" %s " % w: n for w, n in times.items() if len(w) <= LONGEST_WORD})
+    for word, n in times.items():
+        text = word.decode("utf-8", "replace")
+        for size in range(3, min(LONGEST_BEGINNING + 1, len(text))):
+            out[b" " + text[:size].encode()] += n
     return out
 
 
+#: Parameters: bytes of an entry that is a word, letters of one that is a beginning.
+LONGEST_WORD, LONGEST_BEGINNING = 64, 7
+#: How often a feature counts in one text at most, so that no text speaks for many.
+PER_TEXT = 4
+
+
 def _count(batches: Iterator[pa.RecordBatch], features) -> Iterator[pa.RecordBatch]:
-    """Per batch: each feature with the toxic and other documents that have it."""
+    """Per batch: each feature with its occurrences in toxic and other texts, and the
+    texts of either kind that have it. The empty feature counts words."""
     for batch in batches:
-        seen = (Counter(), Counter())
+        seen, texts = (Counter(), Counter()), (Counter(), Counter())
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            seen[0 if toxic else 1].update(features(fold(text)))
+            side, words = 0 if toxic else 1, fold(text)
+            found = features(words)
+            texts[side].update(found.keys())
+            seen[side].update({k: min(n, PER_TEXT) for k, n in found.items()})
+            seen[side][b""] += len(words)
         keys = list(seen[0].keys() | seen[1].keys())
-        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array([seen[0][k] for k in keys], pa.int64()), pa.array([seen[1][k] for k in keys], pa.int64())], ["feature", "pos", "neg"])
+        yield pa.record_batch([pa.array(keys, pa.binary()), *[pa.array([x[k] for k in keys], pa.int64()) for x in (*seen, *texts)]], ["feature", "pos", "neg", "pos_texts", "neg_texts"])
 
 
-def _contexts(words: list[bytes], starts: tuple[bytes, ...], whole: set[bytes]) -> set[bytes]:
-    out = set()
+def _contexts(words: list[bytes], starts: tuple[bytes, ...], whole: set[bytes]) -> Counter:
+    """Each word that an entry matches, and it with its neighbours."""
+    out = Counter()
     for i, w in enumerate(words):
         if w in whole or w.startswith(starts):
+            out[b" %s " % w] += 1
             if i:
-                out.add(b" %s %s " % (words[i - 1], w))
+                out[b" %s %s " % (words[i - 1], w)] += 1
             if i + 1 < len(words):
-                out.add(b" %s %s " % (w, words[i + 1]))
+                out[b" %s %s " % (w, words[i + 1])] += 1
     return out
 
 
-def _choose(rows: list, limit: int) -> dict[bytes, float]:
-    """The surest features first; none that begins like one already chosen."""
+def _choose(rows: list[tuple[bytes, float]], limit: int) -> tuple[dict[bytes, float], int]:
+    """The surest features first; of two beginnings of which one begins the other, and
+    of a beginning and its words, what is surer alone; but a beginning may follow its
+    words. Also how many were left out for the limit."""
     chosen: dict[bytes, float] = {}
-    for feature, odds, _ in rows:
+    starts: list[bytes] = []
+    left_out = 0
+    for feature, odds in rows:
+        word = feature.endswith(b" ")
+        if feature.startswith(tuple(starts)) or not word and any(x.startswith(feature) for x in starts):
+            continue
         if len(chosen) == limit:
-            break
-        if not any(feature.startswith(x) or x.startswith(feature.rstrip()) for x in chosen):
-            chosen[bytes(feature)] = odds
-    return chosen
+            left_out += 1
+            continue
+        chosen[feature] = odds
+        if not word:
+            starts.append(feature)
+    return chosen, left_out
 
 
 def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -149,12 +178,22 @@ def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 1e-6)), float(beta[1])
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limit: int = 256) -> Lexicon:
+def _place(x: np.ndarray | float) -> np.ndarray | float:
+    return np.log(np.asarray(x) + 0.005)
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limit: int = 4096, least: float = 1.5, support: int = 3) -> Lexicon:
     """Fit on at most ``fit_rows`` labelled documents (those with the smallest
     hashes of doc_id). ``labels``: doc_id and toxic, already cut to the rows
     that may be learned from; null labels and null ids are left out, and of
     several labels for one id the largest counts. With no labelled toxic or no
     other rows the lexicon is empty and every score is low.
+
+    An entry stands in ``support`` toxic texts at least, and the log odds ratio of its rates
+    less its standard error is ``least`` at least; rates have a prior of half an occurrence.
+    The ``limit`` surest are entries, and of those in two toxic texts or short of ``least``
+    as many are faint entries, with a fiftieth of their weight. An exception stands in two clean texts at least
+    and in four times as many as toxic ones; the ``limit`` most frequent are taken.
     """
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
@@ -164,47 +203,38 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limi
         .limit(fit_rows)
     )
     # at most fit_rows ids: the bound that lets them be broadcast
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), "toxicity-fit")
-    size = {bool(r.toxic): r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n_pos, n_neg = size.get(True, 0), size.get(False, 0)
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")).dropDuplicates(), "toxicity-fit")
     out = Lexicon()
-    if not n_pos or not n_neg:
+    if {r.toxic for r in sample.select("toxic").distinct().collect()} != {True, False}:
         drop_written(sample)
         return out
+    schema = "feature binary, pos long, neg long, pos_texts long, neg_texts long"
 
-    least = max(3, n_pos // 100)
-    schema = "feature binary, pos long, neg long"
-
-    def counted(features, which=None):
+    def counted(features):
         found = sample.mapInArrow(lambda it: _count(it, features), schema)
-        return found.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return found.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_texts", "neg_texts")])
 
-    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+    counts = written(counted(_features).where("pos_texts >= 2 or feature = X''"), "toxicity-counts")
+    size = counts.where("feature = X''").first()
+    odds = F.log((F.col("pos") + 0.5) / (size.pos + 1)) - F.log((F.col("neg") + 0.5) / (size.neg + 1))
     sure = odds - F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    top = (
-        counted(_features)
-        .where(F.col("pos") >= least)
-        .select("feature", odds.alias("odds"), sure.alias("sure"))
-        .where("sure >= 2.5")
-        .orderBy(F.desc("sure"), F.desc(F.length("feature")), "feature")
-        .limit(8 * limit)
-        .collect()
-    )
-    out.entries = _choose([(bytes(r.feature), r.odds, r.sure) for r in top], limit)
-    if not out.entries:
-        drop_written(sample)
-        return out
-
-    whole = {k.strip() for k in out.entries if k.endswith(b" ")}
-    starts = tuple(k.strip() for k in out.entries if not k.endswith(b" "))
-    harmless = (
-        counted(lambda words: _contexts(words, starts, whole))
-        .where("neg >= 3 and neg >= 4 * pos")
-        .orderBy(F.desc("neg"), "feature")
-        .limit(limit)
-        .collect()
-    )
-    out.exceptions = [bytes(r.feature) for r in harmless]
+    ranked = counts.where("feature <> X''").select("feature", odds.alias("odds"), sure.alias("sure"), ((sure >= least) & (F.col("pos_texts") >= support)).alias("strong"))
+
+    def first(strong: bool) -> list[tuple[bytes, float]]:
+        some = ranked.where(F.col("strong") == strong).where("odds > 0").orderBy(F.desc("sure"), F.desc(F.length("feature")), "feature")
+        return [(bytes(r.feature), r.odds) for r in some.limit(8 * limit).collect()]
+
+    out.entries, out.left_out = _choose(first(True), limit)
+    out.left_out += max(0, ranked.where("strong").count() - 8 * limit)
+    faint = {f: min(w / 50, 0.5) for f, w in _choose([x for x in first(False) if x[0] not in out.entries], limit)[0].items()}
+    if out.entries:
+        whole = {k.strip() for k in out.entries if k.endswith(b" ")}
+        starts = tuple(k.strip() for k in out.entries if not k.endswith(b" "))
+        harmless = written(counted(lambda words: _contexts(words, starts, whole)).where("neg_texts >= 2 and neg_texts >= 4 * pos_texts and feature <> X''"), "toxicity-exceptions")
+        out.exceptions = [bytes(r.feature) for r in harmless.orderBy(F.desc("neg_texts"), "feature").limit(limit).collect()]
+        out.left_out += max(0, harmless.count() - limit)
+        drop_written(harmless)
+    out.entries = faint | out.entries
 
     def strengths(batches):
         automaton = out.automaton()
@@ -213,8 +243,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limi
             yield pa.record_batch([pa.array(x, pa.float64()), batch["toxic"].cast(pa.float64())], ["x", "y"])
 
     scaled = sample.mapInArrow(strengths, "x double, y double").limit(fit_rows).toPandas()
-    out.slope, out.offset = _scale(scaled.x.to_numpy(), scaled.y.to_numpy())
-    drop_written(sample)
+    out.slope, out.offset = _scale(_place(scaled.x.to_numpy()), scaled.y.to_numpy())
+    drop_written(sample, counts)
     return out
 
 
@@ -233,7 +263,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) ->
         automaton = lexicon.automaton()
         for batch in batches:
             x = [strength(fold(t), automaton) for t in batch.column(at).to_pylist()]
-            z = np.array([lexicon.slope * v + lexicon.offset for v, _ in x], float)
+            z = lexicon.slope * _place(np.array([v for v, _ in x], float)) + lexicon.offset
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             added = [pa.array(score, pa.float64()), pa.array([n for _, n in x], pa.int32()), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "score", "n_matches", "predicted"])
