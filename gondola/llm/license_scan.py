@@ -6,10 +6,14 @@ Aho-Corasick automaton over the normalised text; where one is found, the regex
 library's bounded-error matching verifies the notice around it and gives the
 span and its edits. An exact occurrence contains every piece, so it is found
 and then checked word by word.
+
+An edited notice must begin and end with words of the text, hold the words that tell
+its licence from others unedited, and not overlap an exact notice of another label.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +50,10 @@ NOTICES = (
 )
 
 
+# Words that tell notices apart, which are never edited.
+TELLING = frozenset("mit apache gnu lesser affero bsd mozilla nc sa attribution version 0 2 3 4 copy modify binary unencumbered".split())
+
+
 @dataclass(frozen=True)
 class Notice:
     label: str
@@ -53,6 +61,10 @@ class Notice:
     base: bool
     edits: int
 
+    @property
+    def telling(self) -> frozenset[str]:
+        return TELLING.intersection(self.words.split())
+
     @property
     def pieces(self) -> list[tuple[int, str]]:
         """edits + 1 pieces of near equal length, with their offsets."""
@@ -75,7 +87,8 @@ class Scanner:
             for offset, piece in notice.pieces:
                 self.seeds.add_word(piece, [*self.seeds.get(piece, []), (i, offset, len(piece))])
         self.seeds.make_automaton()
-        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(x.words)}){{e<={x.edits}}}") for x in known]
+        # between borders of words, which edits can't move
+        self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(x.words)}){{e<={x.edits}}}(?![^ ])") for x in known]
 
     def spans(self, line: str) -> list[tuple[int, int, int, int, bool]]:
         """(notice, start, end, edits, whole words) in a normalised line."""
@@ -90,16 +103,28 @@ class Scanner:
                     whole = (at == 0 or line[at - 1] == " ") and (stop == len(line) or line[stop] == " ")
                     out[i, at] = (i, at, stop, 0, whole)
                     continue
-                low = max(0, at - notice.edits, looked.get(i, 0))
-                high = min(len(line), stop + notice.edits)
+                low = line.rfind(" ", 0, max(0, at - notice.edits)) + 1  # whole words of the text
+                high = line.find(" ", min(len(line), stop + notice.edits))
+                low, high = max(low, looked.get(i, 0)), high if high >= 0 else len(line)
                 if high - low < len(notice.words) - notice.edits:
                     continue
                 if m := self.patterns[i].search(line, low, high):
                     edits = sum(m.fuzzy_counts)
-                    if edits:
+                    if edits and notice.telling.issubset(m[0].split(" ")):
                         out.setdefault((i, m.start()), (i, m.start(), m.end(), edits, False))
                         looked[i] = m.end()
-        return sorted(out.values(), key=lambda x: (x[1], x[0]))
+        return sorted(self._apart(list(out.values())), key=lambda x: (x[1], x[0]))
+
+    def _apart(self, found: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int, bool]]:
+        """Without edited notices that overlap an exact one of another label."""
+        exact = sorted((start, end, self.known[i].label) for i, start, end, edits, whole in found if whole and not edits)
+        starts, most = [x[0] for x in exact], max((end - start for start, end, _ in exact), default=0)
+
+        def over(i: int, start: int, end: int) -> bool:
+            near = exact[bisect_left(starts, start - most) : bisect_left(starts, end)]
+            return any(stop > start and label != self.known[i].label for _, stop, label in near)
+
+        return [x for x in found if not x[3] or not over(*x[:3])]
 
 
 SPANS = "array<struct<label:string,notice:string,start_word:long,n_words:long,edits:int,base:boolean>>"

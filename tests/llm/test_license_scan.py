@@ -1,3 +1,4 @@
+import random
 import re
 
 from gondola.llm import license_scan, queries
@@ -39,3 +40,43 @@ def test_fuzzy_notices(spark, rows_of):
 def test_odd_rows(odd, none, rows_of):
     assert matches(rows_of(odd), rows_of(license_scan.labelled(license_scan.scan_notices(odd))))
     assert rows_of(license_scan.scan_notices(none)) == []
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def naive(line, known):
+    """Labels of notices within their edits of some run of whole words."""
+    words = line.split(" ")
+    runs = [" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
+    return {n.label for n in known if any(abs(len(r) - len(n.words)) <= n.edits and n.telling.issubset(r.split(" ")) and distance(r, n.words) <= n.edits for r in runs)}
+
+
+def test_edited_notices_against_edit_distance():
+    rng, known = random.Random(6), license_scan.notices()
+    scanner = license_scan.Scanner(known)
+    for _ in range(150):
+        notice = rng.choice(known)
+        text = list(notice.words)
+        for _ in range(rng.randint(0, notice.edits + 1)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "q"])
+        line = " ".join(["ab", "cde"] * rng.randint(0, 2) + ["".join(text)] + ["zz", "of"] * rng.randint(0, 2))
+        line = " ".join(line.split())
+        expected = naive(line, known)
+        found = {known[i].label for i, _, _, edits, whole in scanner.spans(line) if edits or whole}
+        exact = {n.label for n in known if f" {n.words} " in f" {line} "}
+        assert found <= expected and exact <= found and (exact or found == expected), line
+
+
+def test_false_notices(spark, rows_of):
+    texts = ["a unit license was issued", "so it licensed under", "visit license plate", "licensed under CC BY-NC 4.0", "licensed under CC-BY-SA 4.0", "licensd under CC BY-NC 4.0", "keit licensed under"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["labels"] for r in rows_of(license_scan.labelled(license_scan.scan_notices(df)))}
+    assert out == {0: "", 1: "", 2: "", 3: "cc-by-nc", 4: "cc-by-sa", 5: "cc-by-nc", 6: ""}
