@@ -8,7 +8,7 @@ learned (what the assistant says and its end mark) as spans of characters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template of one turn.
@@ -78,6 +78,28 @@ def preference_pairs(conversations: DataFrame, pair: Column, rejected: Column) -
     )
 
 
+def swapped_replies(conversations: DataFrame, key: str = "conv_id", bucket: int = 1024) -> DataFrame:
+    """Preference data from plain conversations: (key, rejected, turn, role, text). Each
+    conversation stands as it is (rejected false) and with its last assistant turn
+    replaced by that of another conversation (rejected true).
+
+    The other one is the next, and for the last the first, in the order of keys within
+    a bucket of about ``bucket`` conversations, dealt by a hash of the key; so neither
+    depends on how rows are stored. Null keys, conversations without an assistant turn,
+    and those alone in their bucket are left out. Other columns are ignored.
+    """
+    turns = conversations.where(F.col(key).isNotNull()).select(key, "turn", "role", "text")
+    replies = turns.where("role = 'assistant'").groupBy(key).agg(F.max(F.struct("turn", "text")).alias("reply"))
+    parts = F.lit(max(1, replies.count() // bucket))
+    near = Window.partitionBy(F.pmod(F.xxhash64(key), parts)).orderBy(key)
+    around = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.coalesce(F.lead("reply").over(near), F.first("reply").over(around))
+    pairs = replies.select(key, "reply", other.alias("other"), F.count("*").over(around).alias("n")).where("n > 1")
+    last = (F.col("role") == "assistant") & F.struct("turn", "text").eqNullSafe(F.col("reply"))
+    both = turns.join(pairs, key).withColumn("rejected", F.explode(F.array(F.lit(False), F.lit(True))))
+    return both.select(key, "rejected", "turn", "role", F.when(F.col("rejected") & F.coalesce(last, F.lit(False)), F.col("other.text")).otherwise(F.col("text")).alias("text"))
+
+
 def span_text(spans: str) -> Column:
     """Spans as text: "start:end" apart by commas."""
     return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")

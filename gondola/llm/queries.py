@@ -51,9 +51,9 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbouring conversations: the even id chosen, the odd rejected."""
-    turns = table(spark, sf_dir, "conversations")
-    made = chat.preference_pairs(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 != 0)
+    """Each conversation chosen; rejected with the last reply of another."""
+    turns = chat.swapped_replies(table(spark, sf_dir, "conversations"))
+    made = chat.preference_pairs(turns, F.col("conv_id"), F.col("rejected"))
     return made.select("pair_id", "n_prompt_turns", "prompt", "chosen", chat.span_text("chosen_spans").alias("chosen_spans"), "rejected", chat.span_text("rejected_spans").alias("rejected_spans"))
 
 
