@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm.runtime import releasing
+
 #: Stands for the end of a word inside the automaton: not a byte-level character.
 _END = "￿"
 
@@ -142,7 +144,7 @@ def byte_line(word: str, byte: list[str]) -> str:
 class Bpe:
     """An encoder and decoder for a tokenizers file of BPE with word ends."""
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 300_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -297,4 +299,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 added = [pa.array(sizes), lists, pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.runtime import new_path, open_table, spread, store_table, tokens, utf8, written
+from gondola.llm.runtime import new_path, open_table, releasing, spread, store_table, tokens, utf8, written
 
 #: Text bytes of a segment, and of a block of the benchmark.
 SEGMENT_BYTES = 4 << 20
@@ -91,7 +91,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Files of a task that was lost are not in the list.
     """
     out = new_path(docs.sparkSession, "postings")
-    return written(docs.select(F.col(key).cast("long"), text).mapInArrow(lambda it: _index(it, out), "segment string, n_docs long, size long"), "segment-list")
+    return written(docs.select(F.col(key).cast("long"), text).mapInArrow(releasing(lambda it: _index(it, out)), "segment string, n_docs long, size long"), "segment-list")
 
 
 class Segment:
@@ -239,7 +239,7 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = 13, slop: int | N
     blocks = [r.block for r in stored.orderBy("block").collect()]  # a name for each few megabytes of benchmark
     schema = "segment string, ord int, doc_id long, n_words long, hit_words array<int>, item_ids array<string>"
     names = [x.split()[0] for x in schema.split(", ")]
-    found = spread(index.select("segment")).mapInArrow(lambda it: _search(it, blocks, size, slop, names), schema)
+    found = spread(index.select("segment")).mapInArrow(releasing(lambda it: _search(it, blocks, size, slop, names)), schema)
     return found.select("doc_id", "n_words", "hit_words", "item_ids", "segment", "ord")
 
 

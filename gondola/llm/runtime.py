@@ -8,15 +8,20 @@ results may still read goes when the application ends (:func:`clear`).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
 _OWN: dict[str, str] = {}
 _USED: set[str] = set()
 
@@ -66,6 +71,26 @@ def open_table(path: str) -> pa.Table:
         return ipc.open_file(pa.BufferReader(f.read())).read_all()
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back: workers are used again by later
+    stages, beside the JVM in one executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with :func:`release` when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def spread(paths: DataFrame, each: int = 16) -> DataFrame:
     """Rows that name files, dealt to tasks of ``each`` files or so, but to several
     tasks a core where there are few."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.components import components
-from gondola.llm.runtime import LOWER, drop_written, utf8, written
+from gondola.llm.runtime import LOWER, drop_written, release, releasing, utf8, written
 from gondola.llm.shingle_sets import digests, exact_links, few_texts, set_id
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "
             made = b"".join([fingerprint(t, k) for t in utf8(batch.column(1))])
             yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(made, ">i8").astype(np.int64))], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(releasing(run), schema)
 
 
 def masks(free: int, radius: int) -> list[int]:
@@ -297,12 +297,13 @@ def wide_edges(fps: DataFrame, radius: int, block_bits: int = 28, block_radius:
         fp = np.ascontiguousarray(x[:, :WORDS_WIDE])
         others = [lambda y, t=t: keys_of(y, t) for t in range(len(tables)) if tables[t][0] != tables[table][0]]
         a, b = _cell_edges(fp, keys_of(fp, table), radius, others)
+        release()
         if ids:
             return pa.table([pa.array(x[y, WORDS_WIDE].view(np.int64)) for y in (a, b)], names=["src", "dst"])
         flat = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS_WIDE), len(y), [None, pa.py_buffer(fp[y].tobytes())]) for y in (a, b)]
         return pa.table([y.cast(pa.binary()) for y in flat], names=["src", "dst"])
 
-    dealt = fps.select("fp").mapInArrow(deal, "cell int, blob binary")
+    dealt = fps.select("fp").mapInArrow(releasing(deal), "cell int, blob binary")
     return dealt.groupBy("cell").applyInArrow(pair_up, f"src {kind}, dst {kind}")
 
 
@@ -323,7 +324,7 @@ def similar_documents(docs: DataFrame, k: int = 5, radius: int = 27, key: str =
             made = [wide_fingerprint(t, k) for t in utf8(batch.column(1))]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(made, pa.binary())], [key, "text_hash", "fp"])
 
-    rows = written(hashed.mapInArrow(run, schema), "wide-fingerprints")
+    rows = written(hashed.mapInArrow(releasing(run), schema), "wide-fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
     return rows.join(_named(nodes, wide_edges(nodes, radius)), "fp").select(key, "text_hash", "component_id", "root")
 
@@ -351,7 +352,7 @@ def similar_sets(docs: DataFrame, k: int, similarity: Fraction, key: str = "doc_
             ids = np.array([set_id(x) for x in made], np.int64)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids), pa.array([majority(x) + i.tobytes() for x, i in zip(made, ids, strict=True)], pa.binary())], schema.names)
 
-    rows = written(hashed.mapInArrow(run, schema), "wide-fingerprints")
+    rows = written(hashed.mapInArrow(releasing(run), schema), "wide-fingerprints")
     nodes = written(rows.groupBy("id").agg(F.min(key).alias("first"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp")), "nodes")
     near = written(wide_edges(nodes, bits, certain=False, ids=True).distinct(), "candidates")
     groups = components(near)

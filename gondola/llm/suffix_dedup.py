@@ -36,7 +36,7 @@ from pyarrow import ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.runtime import new_path, written
+from gondola.llm.runtime import new_path, release, releasing, written
 
 # Difference covers by modulus; differences of members give all remainders.
 COVERS = {
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
     schema = docs.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in new]).schema
     out, text_at, names = new_path(spark, "segments"), docs.columns.index(text), docs.columns
-    segments = written(docs.mapInArrow(lambda it: _store_segments(it, out, text_at), "segment string, size long"), "segment-list")
+    segments = written(docs.mapInArrow(releasing(lambda it: _store_segments(it, out, text_at)), "segment string, size long"), "segment-list")
     total = segments.agg(F.sum("size")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = modulus(length)
@@ -368,6 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             mine = order[x:y]
             part = [texts[i] for i in mine.tolist()]
             made.append({"segment": path, "bucket": b, "blob": b"".join(part), "sizes": np.array([len(t) for t in part], np.int32).tobytes(), "ids": ids[mine].tobytes()})
+        release()
         return pa.Table.from_pylist(made, schema=pa.schema([("segment", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]))
 
     def cleaned(rows: pa.Table) -> pa.Table:
@@ -399,10 +400,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         kept = s.bytes[~gone].tobytes()
         ends = np.cumsum(s.sizes - removed).tolist()
         parts = [kept[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        release()
         added = [pa.array(s.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(parts, pa.binary())]
         return pa.Table.from_arrays([*s.table.columns, *added], names=[*names, *new])
 
-    dealt = segments.repartition(parts).mapInArrow(samples, "segment string, bucket int, names binary, several binary")
+    dealt = segments.repartition(parts).mapInArrow(releasing(samples), "segment string, bucket int, names binary, several binary")
     every = segments.select("segment", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("bits"))
     ranked = written(dealt.groupBy("bucket").applyInArrow(_rank_samples, REPLY), "sample-ranks")
     cut = every.unionByName(ranked).groupBy("segment").applyInArrow(runs, "segment string, bucket int, blob binary, sizes binary, ids binary")

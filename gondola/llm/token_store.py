@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.llm.bpe import Chunks, Pieces, byte_characters, byte_line
-from gondola.llm.runtime import new_path, spread, written
+from gondola.llm.runtime import new_path, releasing, spread, written
 
 MAGIC = b"GNDLTOK1"
 _HEAD = struct.Struct("<8s7Q")
@@ -238,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, out: str | None =
     # the text's hash spreads the rows of one hot key over partitions
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     dealt = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie")
-    return written(dealt.select("key", "text").mapInArrow(run, MANIFEST), "token-manifest")
+    return written(dealt.select("key", "text").mapInArrow(releasing(run), MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.runtime import WORDS, drop_written, written
+from gondola.llm.runtime import WORDS, drop_written, releasing, written
 
 # Characters that pass for Latin letters, and what they pass for.
 HOMOGLYPHS = {
@@ -119,7 +119,7 @@ PER_TEXT = 4
 def _count(batches: Iterator[pa.RecordBatch], features) -> Iterator[pa.RecordBatch]:
     """Per batch: each feature with its occurrences in toxic and other texts, and the
     texts of either kind that have it. The empty feature counts words."""
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         seen, texts = (Counter(), Counter()), (Counter(), Counter())
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             side, words = 0 if toxic else 1, fold(text)
@@ -211,7 +211,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limi
     schema = "feature binary, pos long, neg long, pos_texts long, neg_texts long"
 
     def counted(features):
-        found = sample.mapInArrow(lambda it: _count(it, features), schema)
+        found = sample.mapInArrow(releasing(lambda it: _count(it, features)), schema)
         return found.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_texts", "neg_texts")])
 
     counts = written(counted(_features).where("pos_texts >= 2 or feature = X''"), "toxicity-counts")
@@ -242,7 +242,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limi
             x = [strength(fold(t), automaton)[0] for t in batch["text"].to_pylist()]
             yield pa.record_batch([pa.array(x, pa.float64()), batch["toxic"].cast(pa.float64())], ["x", "y"])
 
-    scaled = sample.mapInArrow(strengths, "x double, y double").limit(fit_rows).toPandas()
+    scaled = sample.mapInArrow(releasing(strengths), "x double, y double").limit(fit_rows).toPandas()
     out.slope, out.offset = _scale(_place(scaled.x.to_numpy()), scaled.y.to_numpy())
     drop_written(sample, counts)
     return out
@@ -268,7 +268,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) ->
             added = [pa.array(score, pa.float64()), pa.array([n for _, n in x], pa.int32()), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "score", "n_matches", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def learnable(column: str = "doc_id"):
