@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.exprs import EXACT, half_up, present
+from gondola.functions.exprs import EXACT, half_up, present, share_pct
 
 
 def _missing(c: Column) -> Column:
@@ -75,7 +75,7 @@ def truncated(c: Column, n: int) -> Column:
 def position_shares(kpis: DataFrame) -> DataFrame:
     """Beaten and lost shares in whole percents; rows without position don't count."""
     total = F.col("total_beat") + F.col("total_meet") + F.col("total_lose")
-    share = lambda c: F.when(total > 0, half_up(F.col(c) * 100 / total)).otherwise(0).cast("long")
+    share = lambda c: F.when(total > 0, share_pct(F.col(c), total)).otherwise(0).cast("long")
     return kpis.select(share("total_beat").alias("beat_pct"), share("total_lose").alias("lose_pct"))
 
 
@@ -83,7 +83,7 @@ def position_slices(positions: DataFrame) -> DataFrame:
     """The slices of one row of positions, empty ones left out, with their share of all."""
     total = F.col("beat") + F.col("meet") + F.col("lose") + F.col("nd")
     slices = positions.withColumn("_total", total).unpivot("_total", ["beat", "meet", "lose", "nd"], "name", "value").where("value > 0")
-    share = (F.col("value") * 100 / F.col("_total")).cast(EXACT)
+    share = (F.col("value").cast("double") / F.col("_total") * 100).cast(EXACT)
     return slices.select("name", "value", F.round(share, 1).cast("double").alias("pct_tooltip"), F.round(share, 0).cast("double").alias("pct_legend"))
 
 
@@ -98,7 +98,7 @@ def franchise_bars(listed: DataFrame, n: int = 15) -> DataFrame:
     order = Window.partitionBy("marca").orderBy(F.desc("count"), "franchise", F.asc_nulls_first("division"))
     total = F.col("beat") + F.col("meet") + F.col("lose")
     ranked = listed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-    beaten = F.when(total > 0, half_up(F.col("beat") * 100 / total)).otherwise(0).cast("long")
+    beaten = F.when(total > 0, share_pct(F.col("beat"), total)).otherwise(0).cast("long")
     last = F.max("_r").over(Window.partitionBy("marca"))
     return ranked.select("marca", "franchise", "division", "count", beaten.alias("beat_pct"), (last - F.col("_r") + 1).cast("long").alias("place"))
 
@@ -115,8 +115,9 @@ def shelf_bars(shares: DataFrame) -> DataFrame:
 
 def search_detail(table: DataFrame, n: int = 80) -> DataFrame:
     """The first searches, with the number of all."""
-    total = table.agg(F.count("*").alias("total"))
-    return table.orderBy("canal", "search_term").limit(n).crossJoin(F.broadcast(total))  # one row
+    every = Window.partitionBy()  # of one row for each channel
+    totals = table.groupBy("canal").agg(F.count("*").alias("_n")).withColumn("total", F.sum("_n").over(every)).select("canal", "total")
+    return table.orderBy("canal", "search_term").limit(n).join(totals, "canal")
 
 
 def visibility_pct(c: Column) -> Column:
@@ -140,3 +141,10 @@ def page_window(page: int, total_pages: int, buttons: int = 5) -> list[int]:
     """The page buttons shown around the current page."""
     first = max(1, min(page - 2, total_pages - buttons + 1))
     return list(range(first, min(first + buttons - 1, total_pages) + 1))
+
+
+def page_windows(listings: DataFrame, buttons: int = 5) -> DataFrame:
+    """:func:`page_window` for each page of each listing (its other columns, and pages)."""
+    first = F.greatest(F.lit(1), F.least(F.col("page") - 2, F.col("pages") - buttons + 1))
+    shown = listings.where("pages > 0").withColumn("page", F.explode(F.expr("sequence(1L, pages)")))
+    return shown.withColumn("button", F.explode(F.sequence(first, F.least(first + buttons - 1, F.col("pages"))))).drop("pages")

@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.functions.exprs import avg_ratio, avg_rounded, count_if, half_up, pct, position_counts, present, ratio, rounded
+from gondola.functions.exprs import avg_ratio, avg_rounded, count_if, pct, position_counts, present, ratio, rounded, share_pct
 from gondola.operators.filters import FranchiseParams, ProductParams, SilhouetteParams
 from gondola.schema import NAMES, Names
 
@@ -121,7 +121,7 @@ def pvp_by_retailer(pricing: DataFrame, names: Names = NAMES) -> DataFrame:
             avg_rounded(pvp, 0).alias("avg_pvp"),
         )
     )
-    share = F.when(F.col("with_pvp") > 0, half_up(F.col("compliant") * 100 / F.col("with_pvp")))
+    share = F.when(F.col("with_pvp") > 0, share_pct(F.col("compliant"), F.col("with_pvp")))
     return found.withColumn("compliance_pct", share.cast("long")).orderBy(F.desc("total"), "scraper")
 
 

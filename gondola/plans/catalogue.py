@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gondola.operators import present as show
 from gondola.operators import pricing as price
+from gondola.operators import responses
 from gondola.operators import shelf as shelves
 from gondola.operators import views
 from gondola.operators.filters import FranchiseParams, ProductParams, SilhouetteParams
@@ -130,8 +131,8 @@ for _name, (_params, _where) in _PRODUCT_CASES.items():
 
 
 def _envelope(p: DataFrame) -> DataFrame:
-    pages = F.ceil(F.col("total") / 20).cast("long")
-    return price.product_total(p, ProductParams(marca=RIVAL)).select("total", F.lit(3).alias("page"), F.lit(20).alias("pageSize"), pages.alias("totalPages"))
+    params = ProductParams(marca=RIVAL, page=3, page_size=20)
+    return price.product_total(p, params).select("total", *responses.page_numbers(F.col("total"), params))
 
 
 _add("Q10_envelope", pricing, _envelope, f"select count(*) as total, 3 as page, 20 as \"pageSize\", cast(ceil(count(*) / 20) as bigint) as \"totalPages\" from pricing where marca = '{RIVAL}'")
@@ -140,7 +141,7 @@ _add("Q10_envelope", pricing, _envelope, f"select count(*) as total, 3 as page,
 _PVP = f"""select scraper, count(*) as total, count(precio_sugerido) as with_pvp, {_if('abs((competitor_final_price - precio_sugerido) / nullif(precio_sugerido, 0)) <= 0.05')} as compliant,
 {_if('competitor_final_price < precio_sugerido * 0.95')} as below_pvp, {_if('competitor_final_price > precio_sugerido * 1.05')} as above_pvp, {AVG_PRICE}, {_avg('precio_sugerido', 0)} as avg_pvp
 from pricing where marca = '{OWN}' and scraper not in {R7} group by scraper"""
-_PCT = "case when with_pvp > 0 then cast(floor(compliant * 100 / with_pvp + 0.5) as bigint) end as compliance_pct"
+_PCT = "case when with_pvp > 0 then cast(floor(compliant / with_pvp * 100 + 0.5) as bigint) end as compliance_pct"
 _add("Q11_pvp_by_retailer", pricing, price.pvp_by_retailer, f"select *, {_PCT} from ({_PVP})")
 _add("Q12_compliance_pct", pricing, lambda p: price.pvp_by_retailer(p).select("scraper", "compliance_pct"), f"select scraper, {_PCT} from ({_PVP})")
 _DIFF = _round("cast(competitor_final_price - precio_sugerido as double) / cast(nullif(precio_sugerido, 0) as double) * 100", 1)
@@ -184,13 +185,13 @@ _add("Q24_search_pivot", shelf, lambda s: shelves.search_table(s).drop("winner")
 _add("Q25_search_winner", shelf, shelves.search_table, f"select * from {_TABLE}")
 
 # what the dashboard derives
-_add("D01_position_shares", pricing, lambda p: show.position_shares(price.summary_kpis(p)), f"select cast(floor(total_beat * 100 / t + 0.5) as bigint) as beat_pct, cast(floor(total_lose * 100 / t + 0.5) as bigint) as lose_pct from (select *, total_beat + total_meet + total_lose as t from ({_KPIS}))")
+_add("D01_position_shares", pricing, lambda p: show.position_shares(price.summary_kpis(p)), f"select cast(floor(total_beat / t * 100 + 0.5) as bigint) as beat_pct, cast(floor(total_lose / t * 100 + 0.5) as bigint) as lose_pct from (select *, total_beat + total_meet + total_lose as t from ({_KPIS}))")
 _SLICES = f"(unpivot (select {_positions(True)} from pricing where marca = '{RIVAL}') on beat, meet, lose, nd into name name value value)"
-_add("D02_position_slices", pricing, lambda p: show.position_slices(price.brand_positions(p, RIVAL)), f"select name, value, {_round('value * 100 / sum(value) over ()', 1)} as pct_tooltip, {_round('value * 100 / sum(value) over ()', 0)} as pct_legend from {_SLICES} where value > 0")
+_add("D02_position_slices", pricing, lambda p: show.position_slices(price.brand_positions(p, RIVAL)), f"select name, value, {_round('value / sum(value) over () * 100', 1)} as pct_tooltip, {_round('value / sum(value) over () * 100', 0)} as pct_legend from {_SLICES} where value > 0")
 _LISTED = f"({_franchises(f'marca in {RIVALS}')})"
 _add("D03_franchises_by_brand", pricing, lambda p: show.franchises_by_brand(price.franchises(p)), f"select marca, count(*) as franchises from {_LISTED} group by marca")
 _BARS = f"""(select *, row_number() over (partition by marca order by "count" desc, franchise, division nulls first) as r from {_LISTED} qualify r <= 15)"""
-_BEATEN = "cast(case when beat + meet + lose > 0 then floor(beat * 100 / (beat + meet + lose) + 0.5) else 0 end as bigint) as beat_pct"
+_BEATEN = "cast(case when beat + meet + lose > 0 then floor(beat / (beat + meet + lose) * 100 + 0.5) else 0 end as bigint) as beat_pct"
 _add("D04_franchise_bars", pricing, lambda p: show.franchise_bars(price.franchises(p)), f'select marca, franchise, division, "count", {_BEATEN}, max(r) over (partition by marca) - r + 1 as place from {_BARS}')
 _add("D05_franchise_beaten", pricing, lambda p: show.franchise_bars(price.franchises(p)).select("marca", "franchise", "division", "beat_pct"), f"select marca, franchise, division, {_BEATEN} from {_BARS}")
 _add("D06_retailers_monitored", shelf, lambda s: show.retailers_monitored(shelves.winners(s)), f"select count(distinct canal) as retailers from {_WIN}")
@@ -202,12 +203,13 @@ _add(
     f"""select id, coalesce(nullif(style_color, ''), productcode_competitor) as code, coalesce(nullif(product_name_competitor, ''), marketing_name) as name,
 case when gap_final_price_pct is null then '—' else {_PCT_TEXT.format('cast(gap_final_price_pct as decimal(10,6))')} end as gap, case when competitor_markdown > 0 then competitor_full_price end as struck_price, competitor_final_price as price from ({_page('true')})""",
 )
-_add("D10_page_window", pricing, lambda p: _windows(p), "select page, greatest(1, least(page - 2, 20 - 4)) as first_button from (select unnest(range(1, 21)) as page)")
+_add("D10_page_window", pricing, lambda p: _windows(p), "select brand, page, greatest(1, least(page - 2, pages - 4)) + k as button from (select *, unnest(range(1, pages + 1)) as page from (select marca as brand, cast(ceil(count(*) / 50) as bigint) as pages from pricing where marca is not null group by 1)), (select unnest(range(0, 5)) as k) where greatest(1, least(page - 2, pages - 4)) + k <= pages")
 _add("D11_visibility_pct", shelf, lambda s: s.select("id", show.visibility_pct(F.col("nike_visibility")).alias("text")), "select id, case when nike_visibility is null then '—' else concat(cast(cast(floor(nike_visibility * 100 + 0.5) as bigint) as string), '%') end as text from shelf")
 
 
 def _windows(p: DataFrame) -> DataFrame:
-    return p.sparkSession.createDataFrame([(n, show.page_window(n, 20)[0]) for n in range(1, 21)], "page long, first_button long")
+    pages = p.where("marca is not null").groupBy(F.col("marca").alias("brand")).agg(F.ceil(F.count("*") / 50).cast("long").alias("pages"))
+    return show.page_windows(pages)
 
 
 # how values are written
@@ -250,3 +252,100 @@ def _through_csv(p: DataFrame) -> DataFrame:
 
 
 _add("A01_csv_round_trip", pricing, _through_csv, ORACLES["V01_bml_summary"].removeprefix(PRICING_SQL))
+
+
+# odd cells through the cleaning: what is read of them, row by row
+_ODD_PRICE = ("'nan'", "' 12.345 '", "'1_000.5'", "'abc'", "'1e3'", "'-7'", "cast(competitor_final_price as string)")
+_ODD_PRICE_READ = ("null", "12.35", "1000.5", "null", "1000", "-7", "cast(competitor_final_price as double)")
+_ODD_DATE = ("'2024-3-7'", "'2024-13-01'", "'#N/A'", "'2024-02-29'", "'2023-02-29'")
+_ODD_DATE_READ = ("'2024-03-07'", "null", "null", "'2024-02-29'", "null")
+_ODD_SIZE = ("'3.5'", "'2.4999'", "'x'", "' 7 '")
+_ODD_SIZE_READ = ("4", "2", "null", "7")
+_ODD_TEXT = ("'  padded  '", "'None'", "'none'", "'N/A'", "'a \"quoted\" cell'")
+_ODD_TEXT_READ = ("'padded'", "null", "'none'", "null", "'a \"quoted\" cell'")
+
+
+def _by_id(values: tuple[str, ...]) -> str:
+    return "case " + " ".join(f"when id % {len(values)} = {n} then {v}" for n, v in enumerate(values)) + " end"
+
+
+def _odd_cells(p: DataFrame, *more: Column) -> DataFrame:
+    cells = {"StyleColor": "cast(id as string)", "Competitor_Final_Price": _by_id(_ODD_PRICE), "Fecha_Corrida": _by_id(_ODD_DATE), "Size_Available_Competitor": _by_id(_ODD_SIZE), "Marca": _by_id(_ODD_TEXT), "Unknown": "'ignored'"}
+    return p.select(*[F.expr(x).alias(c) for c, x in cells.items()], *more)
+
+
+def _read_back(p: DataFrame) -> DataFrame:
+    from gondola.sources.ingest import clean
+
+    return clean(_odd_cells(p))[0].select("style_color", "competitor_final_price", "fecha_corrida", "size_available_competitor", "marca", "scraper")
+
+
+_add(
+    "A02_A06_odd_cells", pricing, _read_back,
+    f"select cast(id as string) as style_color, cast({_by_id(_ODD_PRICE_READ)} as double) as competitor_final_price, {_by_id(_ODD_DATE_READ)} as fecha_corrida, cast({_by_id(_ODD_SIZE_READ)} as int) as size_available_competitor, {_by_id(_ODD_TEXT_READ)} as marca, cast(null as string) as scraper from pricing",
+)
+
+
+def _loaded(p: DataFrame, truncate: bool) -> DataFrame:
+    """Two loads of the same file, some of whose rows overflow a column."""
+    from gondola.sources.ingest import latest_runs, load
+    from gondola.sources.paths import new_path
+
+    spark = p.sparkSession
+    path, table, runs = (new_path(spark, n) for n in ("csv", "prices", "runs"))
+    over = F.when(F.col("id") % 50 == 3, "99999999999").alias("Gap_Final_Price_Pct")
+    _odd_cells(p, over).write.csv(path, header=True, quote='"', escape='"')
+    for _ in range(2):
+        load(spark, path, table, runs, truncate=truncate)
+    stored, bad = spark.read.parquet(table), spark.read.parquet(f"{table}_quarantine")
+    rows = stored.agg(F.count("*").alias("stored"), F.countDistinct("style_color").alias("distinct_stored")).select(F.lit("table").alias("what"), "stored", "distinct_stored")
+    gone = bad.agg(F.count("*").alias("stored"), F.countDistinct("StyleColor").alias("distinct_stored")).select(F.lit("quarantine").alias("what"), "stored", "distinct_stored")
+    log = latest_runs(spark.read.parquet(runs)).groupBy(F.concat(F.lit("runs "), "status").alias("what")).agg(F.sum("rows_inserted").alias("stored"), F.count("*").alias("distinct_stored"))
+    return rows.unionByName(gone).unionByName(log)
+
+
+def _load_sql(times: int) -> str:
+    good, bad = "count(case when id % 50 <> 3 then 1 end)", "count(case when id % 50 = 3 then 1 end)"
+    return f"""select 'table' as what, {times} * {good} as stored, {good} as distinct_stored from pricing union all
+select 'quarantine', 2 * {bad}, {bad} from pricing union all select 'runs partial', 2 * {good}, 2 from pricing"""
+
+
+_add("A07_A09_A10_append", pricing, lambda p: _loaded(p, False), _load_sql(2))
+_add("A08_truncate_first", pricing, lambda p: _loaded(p, True), _load_sql(1))
+
+
+# bodies, read back from their JSON
+def _summary_back(p: DataFrame) -> DataFrame:
+    kinds = responses.summary_parts(p).schema
+    x = responses.pricing_summary(p).select(F.from_json("body", kinds).alias("x")).select("x.*")
+    return x.select(F.col("kpis.total_beat").alias("total_beat"), F.col("kpis.adidas_avg_price").alias("adidas_avg_price"), F.col("bml_puma.lose").alias("puma_lose"), F.posexplode("top_adidas").alias("place", "line")).select("total_beat", "adidas_avg_price", "puma_lose", F.col("place").cast("long").alias("place"), "line.*")
+
+
+_add(
+    "A14_summary_body", pricing, _summary_back,
+    f"""select total_beat, adidas_avg_price, lose as puma_lose, row_number() over (order by "count" desc, franchise) - 1 as place, franchise, "count", avg_price, avg_gap_pct
+from ({ORACLES['Q04_top_rival'].removeprefix(PRICING_SQL)}), ({_KPIS}), (select lose from ({ORACLES['Q03_bml_second'].removeprefix(PRICING_SQL)}))""",
+)
+_PAGE2 = ProductParams(page=2, page_size=20, marca=RIVAL)
+
+
+def _products_back(p: DataFrame) -> DataFrame:
+    x = responses.products(p, _PAGE2).select(F.from_json("body", "products array<struct<id:long,competitor_final_price:double>>, total long, page int, pageSize int, totalPages long").alias("x")).select("x.*")
+    return x.select("total", "page", "pageSize", "totalPages", F.posexplode("products").alias("place", "line")).select("total", "page", "pageSize", "totalPages", F.col("place").cast("long").alias("place"), "line.*")
+
+
+_add(
+    "A14_products_body", pricing, _products_back,
+    f"""select (select count(*) from pricing where marca = '{RIVAL}') as total, 2 as page, 20 as "pageSize", cast(ceil((select count(*) from pricing where marca = '{RIVAL}') / 20) as bigint) as "totalPages", row_number() over (order by {_ORDER}) - 1 as place, id, cast(competitor_final_price as double) as competitor_final_price
+from (select * from pricing where marca = '{RIVAL}' order by {_ORDER} limit 20 offset 20)""",
+)
+
+
+def _shelf_back(s: DataFrame) -> DataFrame:
+    x = responses.shelf_summary(s).select(F.from_json("body", "byCanal map<string,array<struct<marca:string,wins:long,pct:double>>>, global struct<n:long>, totalByCanal map<string,long>").alias("x")).select("x.*")
+    won = x.select(F.col("global.n").alias("n"), "totalByCanal", F.explode("byCanal").alias("canal", "won"))
+    return won.select("n", F.col("totalByCanal")[F.col("canal")].alias("total"), "canal", F.explode("won").alias("line")).select("n", "total", "canal", "line.*")
+
+
+_add("A14_shelf_body", shelf, _shelf_back, f"select (select count(*) from shelf where marca = '{NAMES.shelf[0]}' and nike_visibility is not null) as n, total, canal, marca, wins, pct from {_SHARE} join {_TOTALS} using (canal)")
+_add("A14_search_lines", shelf, lambda s: responses.search_lines(s).select(F.from_json("body", "canal string, search_term string, winner string").alias("x")).select("x.*"), f"select canal, search_term, winner from {_TABLE}")

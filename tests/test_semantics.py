@@ -131,3 +131,20 @@ def test_plans_are_native_and_pushed_down(spark, sf_dir):
     assert "WindowGroupLimit" in plan and "Python" not in plan
     plan = catalogue.QUERIES["V01_bml_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "Python" not in plan
+
+
+def test_shares_divide_first(prices):
+    row = lambda p: {"scraper": "s", "marca": "NIKE", "competitor_final_price": money(p), "precio_sugerido": money("100")}
+    for compliant, total, expected in ((23, 40, 57), (29, 200, 14), (46, 80, 57), (1, 2, 50), (1, 8, 13)):
+        r = price.pvp_by_retailer(prices(*[row("100")] * compliant, *[row("10")] * (total - compliant))).first()
+        assert (r.with_pvp, r.compliant, r.compliance_pct) == (total, compliant, expected)
+    kpis = prices(*[{"marca": "NIKE", "bml_final_price": "BEAT"}] * 23, *[{"marca": "NIKE", "bml_final_price": "LOSE"}] * 17)
+    assert show.position_shares(price.summary_kpis(kpis)).first().beat_pct == 57
+
+
+def test_page_windows_agree_with_page_window(spark):
+    listings = spark.createDataFrame([(n,) for n in range(0, 12)], "pages long").withColumn("name", F.col("pages"))
+    found = {}
+    for r in show.page_windows(listings).collect():
+        found.setdefault((r.name, r.page), []).append(r.button)
+    assert {k: sorted(v) for k, v in found.items()} == {(n, p): show.page_window(p, n) for n in range(1, 12) for p in range(1, n + 1)}
