@@ -305,9 +305,10 @@ def _loaded(p: DataFrame, truncate: bool) -> DataFrame:
 
 
 def _load_sql(times: int) -> str:
-    good, bad = "count(case when id % 50 <> 3 then 1 end)", "count(case when id % 50 = 3 then 1 end)"
-    return f"""select 'table' as what, {times} * {good} as stored, {good} as distinct_stored from pricing union all
-select 'quarantine', 2 * {bad}, {bad} from pricing union all select 'runs partial', 2 * {good}, 2 from pricing"""
+    good, bad = _if("id % 50 <> 3"), _if("id % 50 = 3")
+    ids = lambda where: f"count(distinct case when {where} then id end)"
+    return f"""select 'table' as what, {times} * {good} as stored, {ids("id % 50 <> 3")} as distinct_stored from pricing union all
+select 'quarantine', 2 * {bad}, {ids("id % 50 = 3")} from pricing union all select 'runs partial', 2 * {good}, 2 from pricing"""
 
 
 _add("A07_A09_A10_append", pricing, lambda p: _loaded(p, False), _load_sql(2))
