@@ -95,4 +95,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Fixed value: what is no word of a lower-cased text.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_pivot_top_k": """with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s qualify rank <= 20""",
+    "op7_decontamination": f"""with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+i as (select distinct coalesce(cast(item_id as varchar), 'null') as item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as line from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as k from (select *, least(13, len(w)) as n from i where len(w) > 0))),
+pl as (select r, k, n, array_to_string(w[k:k + n - 1], ' ') as line from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from win) where len(w) >= n)),
+hit as (select r, k, n, item_id from pl join win using (n, line)),
+cover as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + n)) as p from hit) group by r),
+items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from hit) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join cover using (r) left join items using (r)""",
+}
