@@ -182,7 +182,7 @@ def _place(x: np.ndarray | float) -> np.ndarray | float:
     return np.log(np.asarray(x) + 0.005)
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limit: int = 4096, least: float = 1.5, support: int = 3) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limit: int = 4096, least: float = 2.0, support: int = 3) -> Lexicon:
     """Fit on at most ``fit_rows`` labelled documents (those with the smallest
     hashes of doc_id). ``labels``: doc_id and toxic, already cut to the rows
     that may be learned from; null labels and null ids are left out, and of
