@@ -14,11 +14,16 @@ depth, which is done a block at a time:
    that stand in several. A suffix can tie with one of another document to the
    full depth only if one of the sample strings inside it is of the second kind:
    the sample's ranks settle most ties before any long comparison.
-3. The suffixes left are cut into runs of neighbours that share their smallest
-   hash of a sample-length string. Equal suffixes have that hash in common, so it
-   deals them to buckets; each bucket is sorted to the full depth by itself, and
-   every class of equal suffixes gets its smallest document. Memory is bounded by
-   a segment or a bucket.
+3. The suffixes left are cut into runs of neighbours that share their least hash
+   of a sample-length string. Equal suffixes have that hash in common, so it deals
+   them to buckets; each bucket is sorted to the full depth by itself, and every
+   class of equal suffixes gets its smallest document. Only a quarter of the
+   hashes deal, and of these not the frequent ones that would fill a bucket:
+   segments count what they hold REPEATED times or more, which is summed while the
+   samples are ranked. A suffix without a dealing hash is dealt by its own. What
+   one string can bring to a bucket is so bounded by BUCKET_BYTES, total /
+   HOT_NAMES occurrences, or fewer than REPEATED in each segment. A segment sends
+   each distinct run once; a task holds one segment or one bucket.
 """
 
 from __future__ import annotations
@@ -51,7 +56,13 @@ SEGMENT_DOCS = 50_000
 #: What a bucket should hold: sample hashes, and bytes of runs.
 BUCKET_SAMPLES = 400_000
 BUCKET_BYTES = 8 << 20
+#: Strings that may be told apart as frequent: a bound on what tasks are sent.
+HOT_NAMES = 1 << 18
+#: Hashes below this deal (a quarter of them); times in a segment from which one is counted.
+DEALS = 1 << 62
+REPEATED = 4
 _LAST = np.iinfo(np.int64).max
+_NO_HASH = np.iinfo(np.uint64).max
 
 
 def modulus(length: int) -> int:
@@ -157,11 +168,34 @@ class Segment:
         near -= np.bincount(known + 1, minlength=len(near)).astype(np.int32)
         return np.flatnonzero((np.cumsum(near[:-1]) > 0) & (self.left >= self.length))
 
-    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, number of suffixes and least hash of each run of the positions."""
+    def repeated(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes that deal and stand several times in the segment, by bucket; the
+        bucket and the number of each."""
+        names, count = np.unique(self.hashes[self.hashes < DEALS], return_counts=True)
+        names, count = names[count >= REPEATED], count[count >= REPEATED]
+        bucket = ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        return names[order], bucket[order], count[order]
+
+    def dealing(self, hot: np.ndarray, buckets: int) -> np.ndarray:
+        """The hashes, but those that don't deal or are among ``hot`` (sorted keys)."""
+        out = np.where(self.hashes < DEALS, self.hashes, _NO_HASH)
+        if len(hot):
+            low = np.zeros(1 << 16, bool)
+            low[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
+            at = np.flatnonzero(low[(out & np.uint64(0xFFFF)).astype(np.int64)])
+            out[at[np.isin(hot_keys(out[at], buckets), hot)]] = _NO_HASH
+        return out
+
+    def runs(self, at: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, number of suffixes and least dealing hash of each run of the positions;
+        a suffix without one has its own hash."""
         if not len(at):
             return at, at, np.empty(0, np.uint64)
-        least = sliding_min(self.hashes, self.v)[at]
+        least = sliding_min(self.dealing(hot, buckets), self.v)[at]
+        alone = least == _NO_HASH
+        if alone.any():
+            least[alone] = window_hashes(self.bytes, self.length)[at[alone]]
         new = np.r_[True, (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])]
         first = np.flatnonzero(new)
         return at[first], np.diff(np.r_[first, len(at)]), least[first]
@@ -234,25 +268,49 @@ def sort_block(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.nda
     return out, limits
 
 
+def _firsts(ranked: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array starts."""
+    return np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)])
+
+
+def hot_keys(names: np.ndarray, buckets: int) -> np.ndarray:
+    """What is known of a hash after counting: its bucket and its lower half."""
+    return ((names >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
+
+
+def hot_of(bucket: int, names: bytes) -> np.ndarray:
+    return np.uint64(bucket << 32) | np.frombuffer(names, np.uint32).astype(np.uint64)
+
+
 _REPLY = pa.schema([("segment", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 REPLY = "segment string, kind int, bucket int, bits binary"
 
 
-def _rank_samples(table: pa.Table) -> pa.Table:
-    """A bucket of sample hashes: which stand in several documents."""
+def _rank_samples(table: pa.Table, many: int) -> pa.Table:
+    """A bucket of sample hashes: which stand in several documents (kind 1, by
+    segment); and which hashes occur ``many`` times or more (kind 3, of no segment)."""
     raw, several = table["names"].to_pylist(), table["several"].to_pylist()
     sizes = [len(x) // 4 for x in raw]
     names = np.frombuffer(b"".join(raw), np.uint32)
     shared = np.concatenate([_unbits(x, n) for x, n in zip(several, sizes, strict=True)])
     order = np.argsort(names, kind="stable")
     ranked = names[order]
-    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    first = _firsts(ranked)
     count = np.diff(np.r_[first, len(ranked)])
     some = np.logical_or.reduceat(shared[order], first) | (count > 1)
     out = np.empty(len(names), bool)
     out[order] = np.repeat(some, count)
     parts = np.split(out, np.cumsum(sizes)[:-1])
-    return pa.Table.from_arrays([table["segment"], pa.array([1] * len(raw), pa.int32()), table["bucket"], pa.array([_bits(x) for x in parts], pa.binary())], schema=_REPLY)
+    replies = pa.Table.from_arrays([table["segment"], pa.array([1] * len(raw), pa.int32()), table["bucket"], pa.array([_bits(x) for x in parts], pa.binary())], schema=_REPLY)
+    often, times = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint32) for c in ("often", "times"))
+    order = np.argsort(often, kind="stable")
+    often = often[order]
+    first = _firsts(often)
+    hot = often[first][np.add.reduceat(times[order].astype(np.int64), first) >= many]
+    if not len(hot):
+        return replies
+    own = pa.Table.from_arrays([pa.nulls(1, pa.string()), pa.array([3], pa.int32()), table["bucket"].slice(0, 1), pa.array([hot.tobytes()], pa.binary())], schema=_REPLY)
+    return pa.concat_tables([replies, own])
 
 
 def _sort_bucket(table: pa.Table, length: int) -> pa.Table:
@@ -326,6 +384,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     v = modulus(length)
     n_names = max(4 * parts, total * len(COVERS[v]) // v // BUCKET_SAMPLES)
     n_runs = max(4 * parts, total // BUCKET_BYTES)
+    # occurrences of a string whose runs (up to length + v bytes each) would fill a bucket
+    many = max(1, BUCKET_BYTES // (length + v), total // HOT_NAMES)
 
     def sampled(path: str) -> pa.RecordBatch:
         s = Segment(path, key, text, length)
@@ -335,9 +395,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
         several = low < high
-        cuts = _cuts(bucket)
-        short = found.astype(np.uint32)
-        return pa.record_batch([pa.array([path] * len(cuts), pa.string()), pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([short[x:y].tobytes() for _, x, y in cuts], pa.binary()), pa.array([_bits(several[x:y]) for _, x, y in cuts], pa.binary())], ["segment", "bucket", "names", "several"])
+        often, hot_bucket, times = s.repeated(n_names)
+        buckets = np.union1d(bucket, hot_bucket)
+        cut = [np.searchsorted(b, buckets, side=side).tolist() for b in (bucket, hot_bucket) for side in ("left", "right")]
+        short, often, times = (x.astype(np.uint32) for x in (found, often, times))
+        made = [(short[x:y].tobytes(), _bits(several[x:y]), often[u:w].tobytes(), times[u:w].tobytes()) for x, y, u, w in zip(*cut, strict=True)]
+        names, flags, often, times = (pa.array([m[i] for m in made], pa.binary()) for i in range(4))
+        return pa.record_batch([pa.array([path] * len(made), pa.string()), pa.array(buckets, pa.int32()), names, flags, often, times], ["segment", "bucket", "names", "several", "often", "times"])
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             replies[kind][b] = raw
         for b, x, y in _cuts(bucket):
             shared[x:y] = _unbits(replies[1][b], y - x)
-        start, count, least = s.runs(s.candidates(shared, place))
+        start, count, least = s.runs(s.candidates(shared, place), hot, n_names)
         texts, first, ids, of = s.texts(start, count)
         deal = (least[first] % np.uint64(n_runs)).astype(np.int32)
         order = np.argsort(deal, kind="stable")
@@ -404,9 +468,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         added = [pa.array(s.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(parts, pa.binary())]
         return pa.Table.from_arrays([*s.table.columns, *added], names=[*names, *new])
 
-    dealt = segments.repartition(parts).mapInArrow(releasing(samples), "segment string, bucket int, names binary, several binary")
+    dealt = segments.repartition(parts).mapInArrow(releasing(samples), "segment string, bucket int, names binary, several binary, often binary, times binary")
     every = segments.select("segment", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("bits"))
-    ranked = written(dealt.groupBy("bucket").applyInArrow(_rank_samples, REPLY), "sample-ranks")
+    answers = written(dealt.groupBy("bucket").applyInArrow(lambda t: _rank_samples(t, many), REPLY), "sample-ranks")
+    ranked = answers.where("kind = 1")
+    # at most HOT_NAMES: no more strings can occur total / HOT_NAMES times
+    frequent = [hot_of(r.bucket, r.bits) for r in answers.where("kind = 3").select("bucket", "bits").collect()]
+    hot = np.unique(np.concatenate(frequent)) if frequent else np.empty(0, np.uint64)
     cut = every.unionByName(ranked).groupBy("segment").applyInArrow(runs, "segment string, bucket int, blob binary, sizes binary, ids binary")
     sorted_ = written(cut.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, length), REPLY), "sorted-runs")
     return every.unionByName(ranked).unionByName(sorted_).groupBy("segment").applyInArrow(cleaned, schema)

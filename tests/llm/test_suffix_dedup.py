@@ -58,3 +58,37 @@ def test_sort_block_ranks_equal_starts():
     texts, ids = [b"abcabcab", b"bcabcxxx"], np.array([5, 3])
     first, limits = suffix_dedup.sort_block(texts, ids, 5)
     assert limits.tolist() == [0, 4, 8] and first.tolist() == [5, 3, 5, 5, 3, 3, 3, 3]
+
+
+@pytest.mark.parametrize("bucket_bytes", [512, 1 << 17])
+def test_frequent_strings_do_not_deal(spark, rows_of, monkeypatch, bucket_bytes):
+    rng = random.Random(bucket_bytes)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    phrase, passage = word(29), word(90)
+    docs = [(i, word(rng.randint(0, 120)) + rng.choice([phrase, passage, passage[20:], phrase + passage]) + word(rng.randint(0, 120))) for i in range(300)]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket_bytes)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert flat(rows_of(suffix_dedup.remove_repeats(df))) == brute(docs)
+
+
+def test_a_common_phrase_fills_no_bucket(spark, rows_of, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    phrase = word(29)
+    docs = [(i, word(80) + phrase + word(80)) for i in range(4000)]
+    made = {}
+
+    def kept(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    written = suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 14)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert all(r["n_removed"] == 0 for r in rows_of(suffix_dedup.remove_repeats(df)))
+    sizes = {}
+    for r in rows_of(made["sorted-runs"]):
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(r["bits"])
+    assert sum(sizes.values()) > 10_000 and max(sizes.values()) < 0.1 * sum(sizes.values())
