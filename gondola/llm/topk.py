@@ -1,12 +1,16 @@
 """Exact top-k inner products by a pivot-distance index.
 
-Every vector is keyed by its nearest pivot and its distance from it; vectors
-of one pivot at like distances form an annulus, and an annulus of many vectors is
-split further by hash. A query first looks into its own annulus, which bounds its
-k-th score from below. By the triangle inequality a vector x of a pivot p scores
-at most (|q|^2 + |x|^2 - (d(q,p) - d(x,p))^2) / 2, so of each pivot only the annuli
-around d(q,p) up to a radius can still matter: the search expands to those, and
-stops there. Pivots and annuli come from a bounded sample; all vectors are
+Every vector is keyed by its nearest pivot and its distance from it; the vectors of
+a pivot, or of a band of its distances where they are many, are a cell, and a cell
+of more vectors than a block is split by hash. In a block the vectors are sorted by
+their distance and cut into annuli, each with its limits and its largest norm.
+
+By the triangle inequality a vector x of a pivot p scores at most
+(|q|^2 + |x|^2 - (d(q,p) - d(x,p))^2) / 2. A query first searches its own cell, which
+bounds its k-th score from below, and then only the cells that can still reach that
+bound. In a block it takes the annuli outwards from its own distance, the highest
+limit first; each k-th best score raises the bound, and it stops where no annulus
+left can reach it. Pivots and bands come from a bounded sample; all vectors are
 indexed, and the result is exact whatever the sample.
 """
 
@@ -16,13 +20,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.llm.runtime import written
 
+_NONE, _LAST = np.int64(-(1 << 62)), np.iinfo(np.int64).max
+
 
 def quantised(column: str, scale: float = 64.0) -> Column:
     """floor(scale * x) of every component, x as a double."""
@@ -81,28 +87,75 @@ def _matrix(rows, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<i8").reshape(-1, dim) if len(rows) else np.empty((0, dim), np.int64)
 
 
-def _best(left: pd.DataFrame, right: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
-    """Of the candidates ``left`` the up to k best for each query of ``right``, of
-    those that reach the query's bound."""
-    out = []
-    if len(left) and len(right):
-        left = left.sort_values("vec_id", kind="stable")
-        ids = left.vec_id.to_numpy()
-        vectors = _matrix(left.v.tolist(), dim)
-        for at in range(0, len(right), 256):
-            part = right.iloc[at : at + 256]
-            queries = _matrix(part.v.tolist(), dim)
-            top = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dim
-            # float64 products are exact while no sum can pass 2^53
-            scores = (queries.astype(float) @ vectors.T.astype(float)).astype(np.int64) if top < 2**53 else queries @ vectors.T
-            for q, bound, row in zip(part.vec_id.tolist(), part.bound.tolist(), scores, strict=True):
-                ok = np.flatnonzero((row >= bound) & (ids != q))
-                if len(ok) > k:
-                    kth = np.partition(row[ok], len(ok) - k)[len(ok) - k]
-                    ok = ok[row[ok] >= kth]
-                    ok = ok[np.lexsort((ids[ok], -row[ok]))[:k]]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[ok], "score": row[ok]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+def most(whole: np.ndarray, gap: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The highest score by the triangle inequality, of the sum of both squared norms
+    and the least difference of the distances; with room for their rounding."""
+    gap = np.maximum(gap - 1e-6 * (1 + np.sqrt(whole) + d), 0)
+    return (whole - gap**2) / 2 + 1e-6 * (1 + whole)
+
+
+class Block:
+    """Vectors of one pivot, sorted by their distance from it and cut into annuli."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, d: np.ndarray, per_annulus: int) -> None:
+        order = np.lexsort((ids, d))
+        self.ids, self.vectors, d = ids[order], vectors[order], d[order]
+        self.first = np.arange(0, len(ids), per_annulus)
+        self.last = np.minimum(self.first + per_annulus, len(ids))
+        self.low, self.high = d[self.first], d[self.last - 1]
+        self.squares = np.maximum.reduceat((self.vectors.astype(np.float64) ** 2).sum(1), self.first)
+        self.top = float(np.abs(self.vectors).max(initial=0))
+
+    def limits(self, d: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """Of each query (its distance from the pivot, its squared norm) and annulus:
+        no vector there scores more."""
+        gap = np.maximum(np.maximum(self.low - d[:, None], d[:, None] - self.high), 0)
+        return most(square[:, None] + self.squares, gap, d[:, None])
+
+    def scores(self, annulus: int, queries: np.ndarray) -> np.ndarray:
+        vectors = self.vectors[self.first[annulus] : self.last[annulus]]
+        # float64 products are exact while no sum can pass 2^53
+        if self.top * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**53:
+            return (queries.astype(float) @ vectors.T.astype(float)).astype(np.int64)
+        return queries @ vectors.T
+
+
+def search_block(block: Block, ids: np.ndarray, queries: np.ndarray, d: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query's place, vec_id, score) of each query's k best of the block that reach
+    its bound, ties to the smaller id; and how many products were made.
+
+    Annuli are taken outwards from the query's own distance, the most promising
+    first; each k-th best score raises the bound, and a query is done when no
+    annulus left can reach it.
+    """
+    n = len(ids)
+    limits = block.limits(d, (queries.astype(np.float64) ** 2).sum(1))
+    turn = np.argsort(-limits, axis=1, kind="stable")
+    limits = np.take_along_axis(limits, turn, 1)
+    best, found = np.full((n, k), _NONE), np.full((n, k), _LAST)
+    bound, products = bound.copy(), 0
+    alive = np.arange(n)
+    for step in range(turn.shape[1]):
+        alive = alive[limits[alive, step] >= bound[alive]]
+        if not len(alive):
+            break
+        for annulus in np.unique(turn[alive, step]).tolist():
+            mine = alive[turn[alive, step] == annulus]
+            here = block.ids[block.first[annulus] : block.last[annulus]]
+            new = block.scores(annulus, queries[mine])
+            products += new.size
+            new = np.where((here == ids[mine, None]) | (new < bound[mine, None]), _NONE, new)
+            some = np.flatnonzero((new > _NONE).any(1))
+            mine, new = mine[some], new[some]
+            if not len(mine):
+                continue
+            score = np.concatenate([best[mine], new], 1)
+            name = np.concatenate([found[mine], np.broadcast_to(here, new.shape)], 1)
+            keep = np.lexsort((name, -score), axis=1)[:, :k]
+            best[mine], found[mine] = np.take_along_axis(score, keep, 1), np.take_along_axis(name, keep, 1)
+            bound[mine] = np.maximum(bound[mine], best[mine, k - 1])
+    at, place = np.nonzero(best > _NONE)
+    return at, found[at, place], best[at, place], products
 
 
 def top_k(
@@ -112,6 +165,8 @@ def top_k(
     sample_rows: int = 4096,
     per_block: int = 2048,
     per_chunk: int = 2048,
+    per_annulus: int = 64,
+    products: Accumulator | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with
     the vectors of all other ids, ties to the smaller vec_id; all of them if fewer.
@@ -119,8 +174,9 @@ def top_k(
     ``vectors``: vec_id (long) and v (array of long). Rows with a null id or vector
     take no part, repeated rows count once, shorter vectors are filled up with
     zeros. Distinct vectors under one id are all candidates, none of them for a
-    query of that id. No usable rows or no queries: an empty result. Pivots and
-    annuli are fitted on ``sample_rows`` rows at most.
+    query of that id. No usable rows or no queries: an empty result. Other columns
+    take no part. Pivots are fitted on ``sample_rows`` rows at most. ``products``,
+    if given, counts the inner products that were computed.
     """
     spark = vectors.sparkSession
     clean = vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("q")).distinct()
@@ -133,7 +189,6 @@ def top_k(
     sample = np.array([list(x) + [0] * (dim - len(x)) for x in fit.v], np.float64).reshape(len(fit), dim)
     n_pivots = max(1, min(64, math.isqrt(total) // 4))
     pivots = Pivots.fit(sample, n_pivots, per_block * len(sample) / total)
-    chunks = max(1, -(-clean.where("q").count() // per_chunk))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,56 +201,54 @@ def top_k(
             yield pa.record_batch([batch["vec_id"], batch["q"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(pivot), pa.array(d), pa.array(annulus), pa.array(square)], ["vec_id", "q", "v", "pivot", "d", "annulus", "square"])
 
     keyed = written(clean.mapInArrow(key, "vec_id long, q boolean, v binary, pivot int, d double, annulus int, square double"), "pivot-keys")
-    # annuli with more vectors than a block are split by hash
-    counts = keyed.groupBy("pivot", "annulus").agg(F.count("*").alias("n"))
-    sized = written(counts.select("pivot", "annulus", F.ceil(F.col("n") / per_block).cast("int").alias("subs")), "annuli")
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")
-    blocks = (
-        keyed.join(sized, ["pivot", "annulus"])
-        .withColumn("sub", F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.col("subs")).cast("int"))
-        .select("pivot", "annulus", "sub", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v")
-    )
-    found = "query_id long, vec_id long, score long"
-    cell = ["pivot", "annulus", "sub", "chunk"]
-    by_query = Window.partitionBy("query_id")
-    order = by_query.orderBy(F.desc("score"), "vec_id")
+    # cells (a pivot's vectors, or a band of its distances) of more vectors than a block are split by hash
+    stats = keyed.groupBy("pivot", "annulus").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("square").alias("square"))
+    cells = written(stats.withColumn("subs", F.ceil(F.col("n") / per_block).cast("int")), "cells")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    block_key = ["pivot", "annulus", "sub", "chunk"]
+    asks = "vec_id long, v binary, bound long, pivot int, annulus int, d double"
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not rows.num_rows or not asked.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=names)
+        block = Block(rows["vec_id"].to_numpy(), _matrix(rows["v"].to_pylist(), dim), rows["d"].to_numpy(), per_annulus)
+        ids = asked["vec_id"].to_numpy()
+        at, found, score, made = search_block(block, ids, _matrix(asked["v"].to_pylist(), dim), asked["d"].to_numpy(), asked["bound"].to_numpy(), k)
+        if products is not None:
+            products.add(made)
+        return pa.Table.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(score)], names=names)
 
     def probe(asked: DataFrame) -> DataFrame:
-        """``asked``: vec_id, v, bound, pivot, annulus, to all blocks of the annulus."""
-        spread = asked.join(sized, ["pivot", "annulus"]).withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
-        right = spread.select(*[F.col(c).alias(c) for c in ("pivot", "annulus", "sub")], chunk.alias("chunk"), *[F.col(c).alias(c) for c in ("vec_id", "v", "bound")])
-        left = blocks.select(*[F.col(c).alias(c) for c in blocks.columns])
-        return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(lambda a, b: _best(a, b, k, dim), found)
-
+        """``asked`` (as in ``asks``), against all blocks of the cell it names. Cells that
+        nobody asks stay where they are; the others go out once for ``per_chunk`` queries."""
+        wanted = asked.groupBy("pivot", "annulus").agg(F.ceil(F.count("*") / per_chunk).cast("int").alias("chunks"))
+        tiles = wanted.join(cells.select("pivot", "annulus", "subs"), ["pivot", "annulus"])
+        sub = F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.col("subs")).cast("int")
+        chunk = F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")
+        left = keyed.join(tiles, ["pivot", "annulus"]).select("pivot", "annulus", sub.alias("sub"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "vec_id", "v", "d")
+        right = asked.join(tiles, ["pivot", "annulus"]).select("pivot", "annulus", F.explode(F.expr("sequence(0, subs - 1)")).alias("sub"), chunk.alias("chunk"), "vec_id", "v", "bound", "d")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
+        return left.groupBy(*block_key).cogroup(right.groupBy(*block_key)).applyInArrow(search, "query_id long, vec_id long, score long")
+
+    # first the query's own cell, which bounds its k-th score from below
     queries = keyed.where("q")
-    none = F.lit(-(1 << 62)).cast("long")
-    home = probe(queries.select("vec_id", "v", none.alias("bound"), "pivot", "annulus"))
-    ranked = home.withColumn("r", F.row_number().over(order)).where(F.col("r") == k)
-    floors = written(ranked.select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound")), "bounds")
-
-    widest = {r.pivot: r.s for r in keyed.groupBy("pivot").agg(F.max("square").alias("s")).collect()}  # a row for each pivot
+    home = written(probe(queries.select("vec_id", "v", F.lit(int(_NONE)).alias("bound"), "pivot", "annulus", "d")), "home")
+    kth = home.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    known = cells.orderBy("pivot", "annulus").toPandas()  # a row for each cell: no more than the sample has rows
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, annulus, low, high, widest = (known[c].to_numpy() for c in ("pivot", "annulus", "low", "high", "square"))
         for batch in batches:
             x = _matrix(batch["v"].to_pylist(), dim).astype(np.float64)
-            bound = np.array([b if b is not None else -np.inf for b in batch["bound"].to_pylist()])
-            d = pivots.distances(x)
-            square = (x**2).sum(1)
-            row, pivot, annulus = [], [], []
-            for p, s in widest.items():
-                # |d(q,p) - d(x,p)|^2 <= |q|^2 + |x|^2 - 2 bound, with room for rounding
-                reach = np.sqrt(np.maximum(square + s - 2 * bound, 0)) * (1 + 1e-9) + 1e-3
-                out = square + s - 2 * bound < -1e-3 * (1 + s)
-                low = np.searchsorted(pivots.limits[p], d[:, p] - reach, side="right")
-                high = np.searchsorted(pivots.limits[p], d[:, p] + reach, side="right")
-                for i in np.flatnonzero(~out).tolist():
-                    n = int(high[i] - low[i]) + 1
-                    row += [i] * n
-                    pivot += [p] * n
-                    annulus += range(int(low[i]), int(high[i]) + 1)
-            part = batch.take(pa.array(row, pa.int64()))
-            yield pa.record_batch([part["vec_id"], part["v"], part["bound"], pa.array(pivot, pa.int32()), pa.array(annulus, pa.int32())], ["vec_id", "v", "bound", "pivot", "annulus"])
-
-    asked = queries.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("bound", none).alias("bound"))
-    reached = probe(asked.mapInArrow(expand, "vec_id long, v binary, bound long, pivot int, annulus int"))
-    return reached.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            d = pivots.distances(x)[:, pivot]
+            limit = most((x**2).sum(1)[:, None] + widest, np.maximum(np.maximum(low - d, d - high), 0), d)
+            own = (batch["pivot"].to_numpy()[:, None] == pivot) & (batch["annulus"].to_numpy()[:, None] == annulus)
+            row, cell = np.nonzero((limit >= batch["bound"].to_numpy()[:, None]) & ~own)
+            part = batch.take(pa.array(row))
+            yield pa.record_batch([part["vec_id"], part["v"], part["bound"], pa.array(pivot[cell]), pa.array(annulus[cell]), pa.array(d[row, cell])], ["vec_id", "v", "bound", "pivot", "annulus", "d"])
+
+    bounded = queries.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("bound", F.lit(int(_NONE))).alias("bound"), "pivot", "annulus")
+    asked = written(bounded.mapInArrow(expand, asks), "asked")
+    every = home.unionByName(probe(asked))
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

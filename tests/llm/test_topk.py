@@ -48,3 +48,29 @@ def test_odd_rows(spark, rows_of):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 4, 64 * 32 + 128 * math.floor(-0.51 * 64))]
     assert rows_of(topk.top_k(clean.limit(0), F.lit(True))) == []
     assert rows_of(topk.top_k(clean, F.lit(False))) == []
+
+
+def test_clustered_vectors_are_pruned(spark, rows_of):
+    rng = np.random.default_rng(9)
+    middle = rng.integers(-300, 301, (12, 8))
+    vectors = {i: (middle[i % 12] * (1 + i % 7) + rng.integers(-3, 4, 8)).tolist() for i in range(3000)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<long>").repartition(3)
+    made = spark.sparkContext.accumulator(0)
+    asked = [i for i in vectors if i % 20 == 0]
+    found = as_lists(rows_of(topk.top_k(df, F.col("vec_id") % 20 == 0, 10, products=made)))
+    assert found == brute(vectors, asked, 10)
+    assert 0 < made.value < 0.5 * len(asked) * len(vectors)
+
+
+def test_block_stops_at_its_bound():
+    vectors = np.array([[i, 0] for i in range(1000)])
+    block = topk.Block(np.arange(1000), vectors, np.abs(np.arange(1000) - 10.0), 10)
+    at, found, score, made = topk.search_block(block, np.array([5000]), np.array([[999, 0]]), np.array([989.0]), np.array([-(1 << 62)]), 3)
+    assert at.tolist() == [0, 0, 0] and found.tolist() == [999, 998, 997] and score.tolist() == [999 * 999, 999 * 998, 999 * 997]
+    assert made <= 50
+
+
+def test_other_columns_and_equal_ids(spark, rows_of):
+    df = spark.createDataFrame([(0, [1, 0], 1.0, 7), (0, [0, 2], 2.0, 7), (1, [3, 1], 1.0, 8), (1, [3, 1], 1.0, 8), (2, [1, 1], 0.0, 9)], "vec_id long, v array<long>, d double, pivot int")
+    found = as_lists(rows_of(topk.top_k(df, F.col("vec_id") == 0, 3)))
+    assert found == {0: [(1, 3), (1, 2), (2, 2)]}
