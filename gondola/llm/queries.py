@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import bpe, chat, decontam, license_scan, sharding, simhash, suffix_dedup, token_store, topk, toxicity
+from gondola.llm import bpe, chat, decontam, divergence, license_scan, part_codes, repeated_windows, sharding, simhash, suffix_dedup, token_store, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(manifest)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, smoothing=5, top=50)
+
+
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_windows.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,12 +105,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_components,
         op9_repeated_passages,
         op10_token_files,
+        op11_source_divergence,
+        op12_part_codes,
+        op13_repeated_windows,
     )
 }
 
 # Fixed value: what is no word of a lower-cased text.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# Fixed value: what is no letter of a lower-cased text, of ASCII.
+_TERMS = _WORDS.replace(r"\x00-\x2F\x3A-\x60\x7B-\x7F", r"\x00-\x40\x5B-\x60\x7B-\x7F")
+
+
+def _rate(count: str, keys: str) -> str:
+    return f"cast(1 + (1000000000::hugeint * ({count} + 5)) // (sum({count}) over (partition by {keys}) + 5 * count(*) over (partition by {keys})) as bigint)"
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assignment and replacement, each as two named tables."""
+    near = "(select p, part, any_value(w) as w, min({{'d': list_inner_product(part, part) - 2 * list_inner_product(part, c) + list_inner_product(c, c), 'k': k}}) as m from d join b{0} using (p) group by p, part)"
+    out = []
+    for r in range(rounds):
+        out.append(f"a{r} as materialized {near.format(r)}")
+        mean = f"select p, k, list(c order by i) as c from (select p, k, i, floor(sum(w * c) / sum(w)) as c from (select p, m.k as k, w, unnest(part) as c, generate_subscripts(part, 1) as i from a{r}) group by p, k, i) group by p, k"
+        out.append(f"b{r + 1} as materialized (select p, k, coalesce(n.c, b{r}.c) as c from b{r} left join ({mean}) n using (p, k))")
+    return ",\n".join([*out, f"a{rounds} as materialized {near.format(rounds)}"])
+
+
 ORACLES: dict[str, str] = {
     "op3_pivot_top_k": """with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
 where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
@@ -112,4 +147,32 @@ cover as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k
 items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from hit) group by r)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join cover using (r) left join items using (r)""",
+    "op11_source_divergence": f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS} as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as total from t group by all having count(distinct r) >= 30),
+c as (select lang, source, term, count(*) as n from t group by all),
+g as (select distinct lang, source from d),
+grid as (select lang, source, term, coalesce(n, 0) as n, total from g join kept using (lang) left join c using (lang, source, term)),
+p as (select *, {_rate('n', 'lang, source')} as p, {_rate('total', 'lang, source')} as q from grid),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+v as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+union all select lang, source, 'term', term, p - q from p where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from v qualify part = 'pair' or rank <= 50""",
+    "op12_part_codes": f"""with e as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+x as materialized (select r, vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] as part from e, (select unnest(range(4)) as p)),
+d as materialized (select p, part, count(*) as w from x group by all),
+b0 as materialized (select p, row_number() over (partition by p order by vec_id, r) - 1 as k, part as c from x qualify k < 256),
+{_lloyd(4)},
+s as (select sha256(string_agg(array_to_string(list_transform(c, lambda y: cast(cast(y as bigint) as varchar)), ','), ',' order by p, k)) as codebooks_sha256 from b4),
+o as (select r, vec_id, label, string_agg(printf('%02x', m.k), '' order by p) as code, cast(sum(m.d) as bigint) as error from x join a4 using (p, part) group by all)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from o, s""",
+    "op13_repeated_windows": r"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select r, doc_id, k, array_to_string(w[k:k + 49], ' ') as line from (select r, doc_id, w, unnest(range(1, len(w) - 48)) as k from d where len(w) >= 50)),
+low as (select line, min(doc_id) as first from win group by line),
+cover as (select distinct r, unnest(range(k, k + 50)) as i from win join low using (line) where first < doc_id),
+gone as (select r, count(*) as n from cover group by r),
+stay as (select r, string_agg(x, ' ' order by i) as line from (select r, unnest(w) as x, generate_subscripts(w, 1) as i from d) anti join cover using (r, i) group by r)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(line, '')) as kept_sha256
+from d left join gone using (r) left join stay using (r)""",
 }
