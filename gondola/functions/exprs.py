@@ -6,7 +6,9 @@ away from zero on exact digits, whatever order the rows were summed in.
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +68,38 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+def _thresholds(digits: int) -> list[float]:
+    """The smallest doubles from which a fraction is rounded to 1, 2, ... units."""
+    units, out = 10**digits, []
+    for k in range(units):
+        tie = Fraction(2 * k + 1, 2 * units)
+        near = float(tie)
+        out.append(near if Fraction(near) >= tie else math.nextafter(near, 1.0))
+    return out
+
+
+def fixed_units(x: Column, digits: int = 1) -> Column:
+    """|x| in units of 10^-digits, rounded on the exact binary value of the double (not
+    on its decimal writing), ties up: 28.75 and 23 / 80 * 100 differ. A fraction of a
+    double is exact, and so is its comparison with the least double of each unit."""
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size)
+    part = size - whole
+    least = F.array(*[F.lit(x) for x in _thresholds(digits)])
+    below = F.greatest(F.floor(part * 10**digits).cast("int") - 1, F.lit(0))  # within one of the answer
+    steps = [F.when(part >= F.get(least, below + i), 1).otherwise(0) for i in range(3)]
+    return (whole * 10**digits + below + steps[0] + steps[1] + steps[2]).cast("long")
+
+
+def to_fixed(x: Column, digits: int = 1) -> Column:
+    """x with so many digits, as JavaScript's toFixed writes doubles: what rounds to zero
+    from below keeps its sign."""
+    units, scale = fixed_units(x, digits), 10**digits
+    minus = F.when(x < 0, "-").otherwise("")
+    whole = F.floor(units / scale).cast("long").cast("string")
+    return F.concat(minus, whole, *([F.lit("."), F.lpad((units % scale).cast("string"), digits, "0")] if digits else []))
+
+
 def like_pattern(text: str) -> str:
     """A user's text inside wildcards. Its own wildcards stay alive; a backslash
     counts only before one of them or another backslash."""

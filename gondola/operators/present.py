@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.exprs import EXACT, half_up, present, share_pct
+from gondola.functions.exprs import fixed_units, half_up, present, share_pct, to_fixed
 
 
 def _missing(c: Column) -> Column:
@@ -24,9 +26,9 @@ def format_price(c: Column, sign: str = "$") -> Column:
 
 
 def format_pct(c: Column) -> Column:
-    """A fraction as a percentage with one digit, with its sign if not zero."""
-    value = F.round((c.cast(EXACT) * 100).cast(EXACT), 1)
-    return F.when(_missing(c), "N/D").otherwise(F.concat(F.when(c > 0, "+").otherwise(""), value.cast("decimal(28,1)").cast("string"), F.lit("%")))
+    """A fraction as a percentage with one digit; a plus where it is above zero."""
+    pct = c.cast("double") * 100
+    return F.when(_missing(c), "N/D").otherwise(F.concat(F.when(pct > 0, "+").otherwise(""), to_fixed(pct, 1), F.lit("%")))
 
 
 # Each position's colour, badge and wording; the last row is for all others.
@@ -79,12 +81,13 @@ def position_shares(kpis: DataFrame) -> DataFrame:
     return kpis.select(share("total_beat").alias("beat_pct"), share("total_lose").alias("lose_pct"))
 
 
-def position_slices(positions: DataFrame) -> DataFrame:
-    """The slices of one row of positions, empty ones left out, with their share of all."""
+def position_slices(positions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The slices of each row of positions, empty ones left out, with their share of
+    the row (nd included): one digit in the tooltip, none in the legend."""
     total = F.col("beat") + F.col("meet") + F.col("lose") + F.col("nd")
-    slices = positions.withColumn("_total", total).unpivot("_total", ["beat", "meet", "lose", "nd"], "name", "value").where("value > 0")
-    share = (F.col("value").cast("double") / F.col("_total") * 100).cast(EXACT)
-    return slices.select("name", "value", F.round(share, 1).cast("double").alias("pct_tooltip"), F.round(share, 0).cast("double").alias("pct_legend"))
+    slices = positions.withColumn("_total", total).unpivot([*keys, "_total"], ["beat", "meet", "lose", "nd"], "name", "value").where("value > 0")
+    share = F.col("value").cast("double") / F.col("_total") * 100
+    return slices.select(*keys, "name", "value", (fixed_units(share, 1) / 10).alias("pct_tooltip"), fixed_units(share, 0).cast("double").alias("pct_legend"))
 
 
 def franchises_by_brand(listed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gondola.functions.exprs import position_counts
 from gondola.operators import present as show
 from gondola.operators import pricing as price
 from gondola.operators import responses
@@ -186,8 +187,18 @@ _add("Q25_search_winner", shelf, shelves.search_table, f"select * from {_TABLE}"
 
 # what the dashboard derives
 _add("D01_position_shares", pricing, lambda p: show.position_shares(price.summary_kpis(p)), f"select cast(floor(total_beat / t * 100 + 0.5) as bigint) as beat_pct, cast(floor(total_lose / t * 100 + 0.5) as bigint) as lose_pct from (select *, total_beat + total_meet + total_lose as t from ({_KPIS}))")
+
+
+def _units(x: str, digits: int) -> str:
+    """Units of 10^-digits of a positive double, on its exact binary value: the fraction times 2^70 is whole."""
+    part, one = f"cast(({x} - floor({x})) * 1180591620717411303424.0::double as hugeint)", 10**digits
+    return f"cast(cast(floor({x}) as hugeint) * {one} + ({2 * one} * {part} + 1180591620717411303424::hugeint) // 2361183241434822606848::hugeint as bigint)"
+
+
 _SLICES = f"(unpivot (select {_positions(True)} from pricing where marca = '{RIVAL}') on beat, meet, lose, nd into name name value value)"
-_add("D02_position_slices", pricing, lambda p: show.position_slices(price.brand_positions(p, RIVAL)), f"select name, value, {_round('value / sum(value) over () * 100', 1)} as pct_tooltip, {_round('value / sum(value) over () * 100', 0)} as pct_legend from {_SLICES} where value > 0")
+_OF_ALL = "value::double / sum(value) over () * 100"
+_add("D02_position_slices", pricing, lambda p: show.position_slices(price.brand_positions(p, RIVAL)), f"select name, value, {_units('x', 1)} / 10 as pct_tooltip, cast({_units('x', 0)} as double) as pct_legend from (select *, {_OF_ALL} as x from {_SLICES}) where value > 0")
+_add("D02_slices_of_all_brands", pricing, lambda p: _slices_by_brand(p), f"select marca, name, value, {_units('x', 1)} / 10 as pct_tooltip, cast({_units('x', 0)} as double) as pct_legend from (select *, value::double / sum(value) over (partition by marca, division) * 100 as x, division from (unpivot (select marca, division_competitor as division, {_positions(True)} from pricing group by all) on beat, meet, lose, nd into name name value value)) where value > 0".replace("select marca, name", "select marca, division, name"))
 _LISTED = f"({_franchises(f'marca in {RIVALS}')})"
 _add("D03_franchises_by_brand", pricing, lambda p: show.franchises_by_brand(price.franchises(p)), f"select marca, count(*) as franchises from {_LISTED} group by marca")
 _BARS = f"""(select *, row_number() over (partition by marca order by "count" desc, franchise, division nulls first) as r from {_LISTED} qualify r <= 15)"""
@@ -197,7 +208,8 @@ _add("D05_franchise_beaten", pricing, lambda p: show.franchise_bars(price.franch
 _add("D06_retailers_monitored", shelf, lambda s: show.retailers_monitored(shelves.winners(s)), f"select count(distinct canal) as retailers from {_WIN}")
 _add("D07_shelf_bars", shelf, lambda s: show.shelf_bars(shelves.shelf_shares(s)), f"select canal, marca, pct, row_number() over (partition by canal order by pct desc, marca) as place, case when pct >= 12 then concat(cast(pct as string), '%') end as label from {_SHARE}")
 _add("D08_search_detail", shelf, lambda s: show.search_detail(shelves.search_table(s)), f"select *, (select count(*) from {_TABLE}) as total from {_TABLE} order by canal, search_term limit 80")
-_PCT_TEXT = "concat(case when {0} > 0 then '+' else '' end, cast(cast(round(cast({0} as decimal(28,10)) * 100, 1) as decimal(28,1)) as string), '%')"
+_PCT = "(abs(cast({0} as double) * 100))"
+_PCT_TEXT = "concat(case when {0} > 0 then '+' when {0} < 0 then '-' else '' end, cast(" + _units(_PCT, 1) + " // 10 as varchar), '.', cast(" + _units(_PCT, 1) + " % 10 as varchar), '%')"
 _add(
     "D09_product_lines", pricing, lambda p: show.product_lines(price.product_page(p)),
     f"""select id, coalesce(nullif(style_color, ''), productcode_competitor) as code, coalesce(nullif(product_name_competitor, ''), marketing_name) as name,
@@ -207,6 +219,12 @@ _add("D10_page_window", pricing, lambda p: _windows(p), "select brand, page, gre
 _add("D11_visibility_pct", shelf, lambda s: s.select("id", show.visibility_pct(F.col("nike_visibility")).alias("text")), "select id, case when nike_visibility is null then '—' else concat(cast(cast(floor(nike_visibility * 100 + 0.5) as bigint) as string), '%') end as text from shelf")
 
 
+def _slices_by_brand(p: DataFrame) -> DataFrame:
+    """The donut of each brand and division: many shares, ties among them."""
+    keys = ["marca", F.col("division_competitor").alias("division")]
+    return show.position_slices(p.groupBy(*keys).agg(*position_counts(F.col("bml_final_price"), null_as_nd=True)), ["marca", "division"])
+
+
 def _windows(p: DataFrame) -> DataFrame:
     pages = p.where("marca is not null").groupBy(F.col("marca").alias("brand")).agg(F.ceil(F.count("*") / 50).cast("long").alias("pages"))
     return show.page_windows(pages)

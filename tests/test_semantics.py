@@ -148,3 +148,23 @@ def test_page_windows_agree_with_page_window(spark):
     for r in show.page_windows(listings).collect():
         found.setdefault((r.name, r.page), []).append(r.button)
     assert {k: sorted(v) for k, v in found.items()} == {(n, p): show.page_window(p, n) for n in range(1, 12) for p in range(1, n + 1)}
+
+
+def test_digits_of_doubles_are_exact(spark):
+    """Against the exact rational value of each double, ties up; and the known cases."""
+    from fractions import Fraction
+
+    from gondola.functions.exprs import to_fixed
+
+    values = [a / b * 100 for b in (80, 160, 400, 7, 640) for a in range(b + 1)] + [0.05, 0.15, 0.25, 0.95, 1.005, 1e9 + 0.25, 0.049999999999999996, 5e-324, 0.0, -0.25, -0.0294, -3.95]
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").select("i", *[to_fixed(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2)]).collect()
+    for r in rows:
+        exact = Fraction(values[r.i])
+        for d in (0, 1, 2):
+            units = int(abs(exact) * 10**d + Fraction(1, 2))
+            text = f"{units // 10**d}" + (f".{units % 10**d:0{d}d}" if d else "")
+            assert r[f"d{d}"] == ("-" if exact < 0 else "") + text, values[r.i]
+    shown = spark.createDataFrame([(1.8855,), (-0.000294,), (0.0,), (0.1234,)], "v double").select(show.format_pct(F.col("v"))).collect()
+    assert [r[0] for r in shown] == ["+188.5%", "-0.0%", "0.0%", "+12.3%"]
+    slices = show.position_slices(spark.createDataFrame([(23, 57, 0, 0)], "beat long, meet long, lose long, nd long")).collect()
+    assert [(r.name, r.pct_tooltip, r.pct_legend) for r in slices] == [("beat", 28.7, 29.0), ("meet", 71.3, 71.0)]
