@@ -259,14 +259,13 @@ _add("U07_truncated", pricing, _texts("marketing_name", text=lambda c: show.trun
 # ingest: the price table through CSV text and back
 def _through_csv(p: DataFrame) -> DataFrame:
     from gondola.schema import LOADED
-    from gondola.sources.ingest import clean
+    from gondola.sources.ingest import clean, read_csv
     from gondola.sources.paths import new_path
 
     spark, path = p.sparkSession, new_path(p.sparkSession, "csv")
     cells = [F.col(target).cast("string").alias(source) for source, target, _ in LOADED if target in p.columns]
     p.select(*cells).write.csv(path, header=True, quote='"', escape='"', quoteAll=False)
-    text = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
-    return views.bml_summary(clean(text)[0])
+    return views.bml_summary(clean(read_csv(spark, path))[0])
 
 
 _add("A01_csv_round_trip", pricing, _through_csv, ORACLES["V01_bml_summary"].removeprefix(PRICING_SQL))
@@ -304,22 +303,47 @@ _add(
 )
 
 
-def _loaded(p: DataFrame, truncate: bool) -> DataFrame:
-    """Two loads of the same file, some of whose rows overflow a column."""
-    from gondola.sources.ingest import latest_runs, load
+def _two_loads(p: DataFrame, truncate: bool) -> tuple[str, list]:
+    """Two loads of the same file, some of whose rows overflow a column: the table's
+    path and what the loads report."""
+    from gondola.sources.ingest import load
     from gondola.sources.paths import new_path
 
     spark = p.sparkSession
-    path, table, runs = (new_path(spark, n) for n in ("csv", "prices", "runs"))
+    path, table = new_path(spark, "csv"), new_path(spark, "prices")
     over = F.when(F.col("id") % 50 == 3, "99999999999").alias("Gap_Final_Price_Pct")
     _odd_cells(p, over).write.csv(path, header=True, quote='"', escape='"')
-    for _ in range(2):
-        load(spark, path, table, runs, truncate=truncate)
-    stored, bad = spark.read.parquet(table), spark.read.parquet(f"{table}_quarantine")
-    rows = stored.agg(F.count("*").alias("stored"), F.countDistinct("style_color").alias("distinct_stored")).select(F.lit("table").alias("what"), "stored", "distinct_stored")
-    gone = bad.agg(F.count("*").alias("stored"), F.countDistinct("StyleColor").alias("distinct_stored")).select(F.lit("quarantine").alias("what"), "stored", "distinct_stored")
-    log = latest_runs(spark.read.parquet(runs)).groupBy(F.concat(F.lit("runs "), "status").alias("what")).agg(F.sum("rows_inserted").alias("stored"), F.count("*").alias("distinct_stored"))
-    return rows.unionByName(gone).unionByName(log)
+    return table, [load(spark, path, table, truncate=truncate) for _ in range(2)]
+
+
+def _loaded(p: DataFrame, truncate: bool) -> DataFrame:
+    from gondola.sources.ingest import quarantined, read_prices, run_log
+
+    spark, table = p.sparkSession, _two_loads(p, truncate)[0]
+    counts = lambda df, what, key: df.agg(F.count("*").alias("stored"), F.countDistinct(key).alias("distinct_stored")).select(F.lit(what).alias("what"), "stored", "distinct_stored")
+    log = run_log(spark, table).groupBy(F.concat(F.lit("runs "), "status").alias("what")).agg(F.sum("rows_inserted").alias("stored"), F.count("*").alias("distinct_stored"))
+    return counts(read_prices(spark, table), "table", "style_color").unionByName(counts(quarantined(spark, table), "quarantine", "StyleColor")).unionByName(log)
+
+
+def _serial_ids(p: DataFrame) -> DataFrame:
+    """Ids after two loads, and after a truncating one."""
+    from gondola.sources.ingest import read_prices
+
+    out = []
+    for what, truncate in (("two loads", False), ("truncated", True)):
+        rows = read_prices(p.sparkSession, _two_loads(p, truncate)[0])
+        out.append(rows.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.count("created_at").alias("dated")).withColumn("what", F.lit(what)))
+    return out[0].unionByName(out[1])
+
+
+def _reports(p: DataFrame) -> DataFrame:
+    """What the loads say of themselves; the last report again for a run that is done."""
+    table, reports = _two_loads(p, False)
+    from gondola.sources.ingest import load
+
+    reports.append(load(p.sparkSession, "not read", table, run_id=reports[-1].run_id))
+    rows = [(n, r.status, r.total, r.inserted, r.errors, r.seconds > 0) for n, r in enumerate(reports)]
+    return p.sparkSession.createDataFrame(rows, "load long, status string, total long, inserted long, errors long, timed boolean")
 
 
 def _load_sql(times: int) -> str:
@@ -331,6 +355,9 @@ select 'quarantine', 2 * {bad}, {ids("id % 50 = 3")} from pricing union all sele
 
 _add("A07_A09_A10_append", pricing, lambda p: _loaded(p, False), _load_sql(2))
 _add("A08_truncate_first", pricing, lambda p: _loaded(p, True), _load_sql(1))
+_GOOD = f"(select {_if('id % 50 <> 3')} as good, {_if('id % 50 = 3')} as bad from pricing)"
+_add("A11_load_reports", pricing, _reports, f"select load, 'partial' as status, good + bad as total, good as inserted, bad as errors, true as timed from {_GOOD}, (select unnest(range(3)) as load)")
+_add("A12_serial_ids", pricing, _serial_ids, f"select what, 1 as first, n * good as last, n * good as rows, n * good as ids, n * good as dated from {_GOOD}, (values ('two loads', 2), ('truncated', 1)) x(what, n)")
 
 
 # bodies, read back from their JSON

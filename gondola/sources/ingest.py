@@ -10,13 +10,16 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gondola.schema import LOADED, PRICING, RUNS
+from gondola.schema import ALERTS, LOADED, PRICING, RUNS
+from gondola.sources.csv_ranges import read_ranges
+from gondola.sources.versions import RUNNING, VersionedTable, numbered
 
 # Texts that stand for no value (case matters).
 NO_VALUE = ("", "nan", "NaN", "None", "NULL", "#N/A", "N/A")
@@ -53,26 +56,59 @@ def typed(c: Column, kind: T.DataType) -> tuple[Column, Column]:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The file's columns as text. Cells may hold quotes, commas and line ends; a
-    byte order mark is skipped and short rows are filled up with nulls."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", inferSchema=False)
+    byte order mark is skipped and short rows are filled up with nulls. A file is read
+    by as many tasks as it has ranges."""
+    return read_ranges(spark, path)
 
 
-def clean(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of the table without id and created_at, quarantined raw rows). Unknown
-    columns are ignored, missing ones null."""
+def _marked(raw: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The raw rows with ``_bad``, and the table's columns over them."""
     there = set(raw.columns)
     pairs = [(target, *typed(F.col(f"`{source}`") if source in there else F.lit(None).cast("string"), kind)) for source, target, kind in LOADED]
     bad = F.lit(False)
     for _, _, over in pairs:
         bad = bad | F.coalesce(over, F.lit(False))
-    marked = raw.withColumn("_bad", bad)
-    good = marked.where(~F.col("_bad")).select(*[v.cast(kind).alias(t) for (t, v, _), (_, _, kind) in zip(pairs, LOADED, strict=True)])
-    return good, marked.where("_bad").drop("_bad")
+    return raw.withColumn("_bad", bad), [v.cast(kind).alias(t) for (t, v, _), (_, _, kind) in zip(pairs, LOADED, strict=True)]
 
 
-def with_defaults(rows: DataFrame) -> DataFrame:
-    """The table's id (unique, not dense) and creation time."""
-    return rows.select(F.monotonically_increasing_id().alias("id"), "*", F.current_timestamp().alias("created_at")).select(*PRICING.fieldNames())
+def clean(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the table without id and created_at, quarantined raw rows). Unknown
+    columns are ignored, missing ones null."""
+    marked, columns = _marked(raw)
+    return marked.where(~F.col("_bad")).select(*columns), marked.where("_bad").drop("_bad")
+
+
+# What a column holds where an insert doesn't name it.
+DEFAULTS: dict[str, dict[str, Callable[[], Column]]] = {
+    "pricing": {"created_at": F.current_timestamp},
+    "runs": {
+        "id": F.uuid, "status": lambda: F.lit("running"), "rows_inserted": lambda: F.lit(0), "rows_updated": lambda: F.lit(0),
+        "errors": F.array, "started_at": F.current_timestamp,
+    },
+    "alerts": {"id": F.uuid, "severity": lambda: F.lit("warning"), "context": F.create_map, "sent_email": lambda: F.lit(False), "created_at": F.current_timestamp},
+}
+_SCHEMAS = {"pricing": PRICING, "runs": RUNS, "alerts": ALERTS}
+
+
+def with_defaults(rows: DataFrame, table: str = "pricing") -> DataFrame:
+    """The rows as an insert into ``table`` (pricing, runs or alerts) would store them:
+    columns that they lack hold their default, else null; those they have stand as
+    they are, nulls too. A row without a value that the table demands is an error;
+    the pricing table's id comes from the load, not from here."""
+    given, out = set(rows.columns), []
+    for field in _SCHEMAS[table].fields:
+        default = DEFAULTS[table].get(field.name)
+        if field.name in given:
+            value = F.col(field.name)
+        elif default is None and not field.nullable:
+            raise ValueError(f"{table}.{field.name} has no default")
+        else:
+            value = default() if default else F.lit(None)
+        value = value.cast(field.dataType)
+        if not field.nullable:
+            value = F.coalesce(value, F.raise_error(F.lit(f"{table}.{field.name} is null")).cast(field.dataType))
+        out.append(value.alias(field.name))
+    return rows.select(*out)
 
 
 @dataclass(frozen=True)
@@ -85,26 +121,70 @@ class LoadReport:
     seconds: float
 
 
-def run_row(spark: SparkSession, run_id: str, name: str, status: str, inserted: int, started: dt.datetime, finished: dt.datetime | None) -> DataFrame:
-    return spark.createDataFrame([(run_id, name, status, inserted, 0, [], started, finished)], RUNS)
-
-
-def load(spark: SparkSession, path: str, table: str, runs: str, truncate: bool = False, name: str = "load_csv") -> LoadReport:
-    """Append (or, with ``truncate``, replace) the table at the path ``table``; the
-    run log ``runs`` gets a row when the load starts and one when it ends: "success"
-    without quarantined rows, else "partial". Those rows go to ``table`` + "_quarantine"."""
-    run_id, started, clock = str(uuid.uuid4()), dt.datetime.now(dt.UTC), time.monotonic()
-    run_row(spark, run_id, name, "running", 0, started, None).write.mode("append").parquet(runs)
-    good, bad = clean(read_csv(spark, path))
-    kept, dropped = Observation("kept"), Observation("dropped")
-    with_defaults(good).observe(kept, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if truncate else "append").parquet(table)
-    bad.withColumn("run_id", F.lit(run_id)).observe(dropped, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{table}_quarantine")
-    inserted, errors = kept.get["n"], dropped.get["n"]
-    status = "partial" if errors else "success"
-    run_row(spark, run_id, name, status, inserted, started, dt.datetime.now(dt.UTC)).write.mode("append").parquet(runs)
-    return LoadReport(run_id, status, inserted + errors, inserted, errors, time.monotonic() - clock)
-
-
-def latest_runs(runs: DataFrame) -> DataFrame:
-    """One row for each run: its last state."""
-    return runs.groupBy("id").agg(F.max_by(F.struct(*[c for c in runs.columns if c != "id"]), F.struct(F.col("finished_at").isNotNull(), "finished_at")).alias("r")).select("id", "r.*")
+def stage(raw: DataFrame, path: str) -> None:
+    """Parse and clean once: good rows as the table has them in one folder of ``path``,
+    the others as they were read in another."""
+    marked, columns = _marked(raw)
+    spark = raw.sparkSession
+    good = F.when(~F.col("_bad"), F.struct(*columns))
+    bad = F.when(F.col("_bad"), F.struct(*[F.col(f"`{c}`") for c in raw.columns]))
+    kept = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, "2")  # two files for a task, in the order of its rows
+    try:
+        marked.select(good.alias("good"), bad.alias("bad"), "_bad").write.mode("overwrite").partitionBy("_bad").parquet(path)
+    finally:
+        spark.conf.set(_WRITERS, kept)
+
+
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def _staged(spark: SparkSession, path: str, bad: bool, raw: DataFrame) -> DataFrame:
+    """The rows of one kind, without a file if there are none."""
+    kind = "bad" if bad else "good"
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns]) if bad else T.StructType([f for f in PRICING.fields if f.name not in ("id", "created_at")])
+    schema = T.StructType([T.StructField(kind, fields), T.StructField("_bad", T.BooleanType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("_bad") == bad).select(f"{kind}.*")
+
+
+def load(spark: SparkSession, path: str, table: str, truncate: bool = False, name: str = "csv_load", run_id: str | None = None, dead_after: dt.timedelta = dt.timedelta(hours=12)) -> LoadReport:
+    """Append the file's rows to the table at the path ``table`` (or, with ``truncate``,
+    put them in place of all others), and put aside those that it can't hold.
+
+    The rows, the quarantine and the run's end ("success", or "partial" with rows put
+    aside) become visible in one step; a load that stops anywhere before leaves the
+    table as it was and its run "running". Loading again with the same ``run_id`` takes
+    such a run up; a run that is done is not loaded twice. Runs of others that are open
+    longer than ``dead_after`` are closed as "failed" and can't be finished any more.
+    Ids are 1..n without a gap over all loads, from 1 again after a truncate.
+    """
+    clock = time.monotonic()
+    target, run_id = VersionedTable(spark, table), run_id or str(uuid.uuid4())
+    run = target.begin(run_id, name, dead_after)
+    if run.status == RUNNING:
+        raw, staged = read_csv(spark, path), target.staged(run_id)
+        stage(raw, staged)
+        rows, inserted = numbered(_staged(spark, staged, False, raw))
+        with_defaults(rows).write.mode("overwrite").parquet(target.data(run_id))
+        bad = _staged(spark, staged, True, raw)
+        errors = bad.count()
+        if errors:
+            bad.write.mode("overwrite").parquet(target.quarantine(run_id))
+        run = target.finish(run_id, inserted, errors, truncate)
+        target.delete(staged)
+    return LoadReport(run_id, run.status, run.rows + run.errors, run.rows, run.errors, time.monotonic() - clock)
+
+
+def read_prices(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+    """The table's rows, as the newest load (or that of ``version``) left it."""
+    return VersionedTable(spark, table).read(PRICING, version)
+
+
+def run_log(spark: SparkSession, table: str) -> DataFrame:
+    """One row for each run, as it stands."""
+    return VersionedTable(spark, table).log()
+
+
+def quarantined(spark: SparkSession, table: str) -> DataFrame | None:
+    """The raw rows that loads put aside, with their run; None if there are none."""
+    return VersionedTable(spark, table).quarantined()

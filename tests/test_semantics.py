@@ -12,7 +12,7 @@ from gondola.operators import shelf as shelves
 from gondola.operators import views
 from gondola.operators.filters import ProductParams
 from gondola.schema import PRICING, SHELF
-from gondola.sources.ingest import clean, latest_runs, load, read_csv
+from gondola.sources.ingest import clean, load, read_csv, read_prices, run_log
 
 
 @pytest.fixture(scope="module")
@@ -105,10 +105,10 @@ def test_ingest(spark, tmp_path):
     assert rows[None].marketing_name is None and rows["short"].marketing_name is None
     assert [r.Scraper for r in bad.collect()] == ["big"]
     for truncate, total in ((False, 4), (False, 8), (True, 4)):
-        report = load(spark, f"{tmp_path}/in.csv", f"{tmp_path}/table", f"{tmp_path}/runs", truncate)
+        report = load(spark, f"{tmp_path}/in.csv", f"{tmp_path}/table", truncate)
         assert (report.status, report.total, report.inserted, report.errors) == ("partial", 5, 4, 1)
-        assert spark.read.parquet(f"{tmp_path}/table").count() == total
-    runs = latest_runs(spark.read.parquet(f"{tmp_path}/runs")).collect()
+        assert read_prices(spark, f"{tmp_path}/table").count() == total
+    runs = run_log(spark, f"{tmp_path}/table").collect()
     assert [r.status for r in runs] == ["partial"] * 3 and all(r.rows_inserted == 4 for r in runs)
 
 
