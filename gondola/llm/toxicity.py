@@ -9,6 +9,7 @@ of words, of clean texts) and the scale are fitted on labelled rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -61,7 +62,8 @@ class Lexicon:
     """entries: (" word " or " beginning", weight); exceptions: " word " or " two words ".
 
     Entries of a weight below 1 are faint: too rare to be sure of, they tell apart texts
-    that have no others, and are not counted as matches. ``left_out`` counts what would have been entries or exceptions but for the limit.
+    that have no others, and are not counted as matches. ``left_out`` counts what would
+    have been entries or exceptions but for the limit, ``faint_left_out`` faint entries.
     """
 
     entries: dict[bytes, float] = field(default_factory=dict)
@@ -69,6 +71,7 @@ class Lexicon:
     slope: float = 1.0
     offset: float = -4.0
     left_out: int = 0
+    faint_left_out: int = 0
 
     def automaton(self) -> ahocorasick.Automaton:
         """Patterns with (length, weight, places of the words that they exempt)."""
@@ -144,6 +147,31 @@ def _contexts(words: list[bytes], starts: tuple[bytes, ...], whole: set[bytes])
     return out
 
 
+def _words_that_begin(words: list[bytes], beginnings: set[bytes]) -> Counter:
+    """Each word with one of the beginnings (" " and its letters)."""
+    out = Counter()
+    for word, n in Counter(words).items():
+        text = word.decode("utf-8", "replace")
+        if any(b" " + text[:size].encode() in beginnings for size in range(3, min(LONGEST_BEGINNING + 1, len(text)))):
+            out[b" %s " % word] = n
+    return out
+
+
+#: Harmless words that a beginning may be excused at most.
+EXCUSED = 2
+
+
+def _excused(harmless: list, candidates: dict[bytes, tuple[int, int]]) -> dict[bytes, tuple[int, int]]:
+    """Occurrences (toxic, other) of the beginnings that have one or two harmless words,
+    without those words."""
+    found: dict[bytes, list] = {}
+    for r in harmless:
+        text = bytes(r.feature)[1:-1].decode("utf-8", "replace")
+        for size in range(3, min(LONGEST_BEGINNING + 1, len(text))):
+            found.setdefault(b" " + text[:size].encode(), []).append(r)
+    return {k: (max(0, p - sum(r.pos for r in found[k])), max(0, n - sum(r.neg for r in found[k]))) for k, (p, n) in candidates.items() if 0 < len(found.get(k, ())) <= EXCUSED}
+
+
 def _choose(rows: list[tuple[bytes, float]], limit: int) -> tuple[dict[bytes, float], int]:
     """The surest features first; of two beginnings of which one begins the other, and
     of a beginning and its words, what is surer alone; but a beginning may follow its
@@ -192,7 +220,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limi
     An entry stands in ``support`` toxic texts at least, and the log odds ratio of its rates
     less its standard error is ``least`` at least; rates have a prior of half an occurrence.
     The ``limit`` surest are entries, and of those in two toxic texts or short of ``least``
-    as many are faint entries, with a fiftieth of their weight. An exception stands in two clean texts at least
+    as many are faint entries, with a fiftieth of their weight. A beginning is judged
+    without its harmless words, if they are one or two. An exception stands in two clean texts at least
     and in four times as many as toxic ones; the ``limit`` most frequent are taken.
     """
     chosen = (
@@ -220,13 +249,33 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limi
     sure = odds - F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     ranked = counts.where("feature <> X''").select("feature", odds.alias("odds"), sure.alias("sure"), ((sure >= least) & (F.col("pos_texts") >= support)).alias("strong"))
 
-    def first(strong: bool) -> list[tuple[bytes, float]]:
-        some = ranked.where(F.col("strong") == strong).where("odds > 0").orderBy(F.desc("sure"), F.desc(F.length("feature")), "feature")
-        return [(bytes(r.feature), r.odds) for r in some.limit(8 * limit).collect()]
-
-    out.entries, out.left_out = _choose(first(True), limit)
-    out.left_out += max(0, ranked.where("strong").count() - 8 * limit)
-    faint = {f: min(w / 50, 0.5) for f, w in _choose([x for x in first(False) if x[0] not in out.entries], limit)[0].items()}
+    def first(strong: bool) -> tuple[list[tuple[bytes, float, float]], int]:
+        some = ranked.where(F.col("strong") == strong).where("odds > 0")
+        rows = some.orderBy(F.desc("sure"), F.desc(F.length("feature")), "feature").limit(8 * limit).collect()
+        return [(bytes(r.feature), r.odds, r.sure) for r in rows], max(0, some.count() - 8 * limit)
+
+    def odds_of(p: int, n: int) -> tuple[float, float]:
+        value = math.log((p + 0.5) / (size.pos + 1)) - math.log((n + 0.5) / (size.neg + 1))
+        return value, value - math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+
+    strong, out.left_out = first(True)
+    weak, out.faint_left_out = first(False)
+    # a beginning that one or two harmless words keep below the bar is judged without
+    # them: they become exceptions
+    word_of = F.substring(F.col("feature"), F.length("feature"), F.lit(1)) == F.lit(b" ")
+    open_ = {bytes(r.feature): (r.pos, r.neg) for r in counts.where((F.col("pos_texts") >= support) & ~word_of & (F.col("feature") != F.lit(b""))).join(ranked.where("not strong").select("feature"), "feature").orderBy(F.desc("pos"), "feature").limit(8 * limit).collect() if odds_of(r.pos, 0)[1] >= least}
+    if open_:
+        known = set(open_)
+        own = counted(lambda words: _words_that_begin(words, known)).where("neg_texts >= 2 and neg_texts >= 4 * pos_texts and feature <> X''")
+        for k, (p, n) in _excused(own.orderBy(F.desc("neg_texts"), "feature").limit(8 * limit).collect(), open_).items():
+            value, sure_ = odds_of(p, n)
+            if sure_ >= least and 2 * p > open_[k][0]:
+                strong.append((k, value, sure_))
+    strong.sort(key=lambda r: (-r[2], -len(r[0]), r[0]))
+    out.entries, more = _choose([r[:2] for r in strong], limit)
+    chosen, faint_more = _choose([r[:2] for r in weak if r[0] not in out.entries], limit)
+    out.left_out, out.faint_left_out = out.left_out + more, out.faint_left_out + faint_more
+    faint = {f: min(w / 50, 0.5) for f, w in chosen.items()}
     if out.entries:
         whole = {k.strip() for k in out.entries if k.endswith(b" ")}
         starts = tuple(k.strip() for k in out.entries if not k.endswith(b" "))
