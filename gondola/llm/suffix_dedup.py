@@ -9,18 +9,18 @@ depth, which is done a block at a time:
 2. The cover sample: of a document's positions those whose remainder by v is in a
    difference cover D. For any two positions some shift below v brings both into
    the sample, so two equal strings of ``length`` bytes always contain equal
-   sample strings of ``length - v + 1`` bytes. The samples are ranked bucket by
-   bucket, and those that stand in one document only are told apart from those
-   that stand in several. A suffix can tie with one of another document to the
-   full depth only if one of the sample strings inside it is of the second kind:
-   the sample's ranks settle most ties before any long comparison.
+   sample strings of ``length - v + 1`` bytes. The samples' hashes are grouped bucket
+   by bucket, which tells those that stand in one document only from those that stand
+   in several: one bit for each, not a rank. A suffix can tie with one of another
+   document to the full depth only if one of the sample strings inside it is of the
+   second kind; the others need no comparison.
 3. The suffixes left are cut into runs of neighbours that share their least hash
    of a sample-length string. Equal suffixes have that hash in common, so it deals
    them to buckets; each bucket is sorted to the full depth by itself, and every
    class of equal suffixes gets its smallest document. Only a quarter of the
    hashes deal, and of these not the frequent ones that would fill a bucket:
    segments count what they hold REPEATED times or more, which is summed while the
-   samples are ranked. A suffix without a dealing hash is dealt by its own. What
+   samples are grouped. A suffix without a dealing hash is dealt by its own. What
    one string can bring to a bucket is so bounded by BUCKET_BYTES, total /
    HOT_NAMES occurrences, or fewer than REPEATED in each segment. A segment sends
    each distinct run once; a task holds one segment or one bucket.
@@ -28,7 +28,6 @@ depth, which is done a block at a time:
 
 from __future__ import annotations
 
-import hashlib
 import os
 import sys
 import uuid
@@ -150,6 +149,13 @@ class Segment:
         inside[list(COVERS[self.v])] = True
         self.samples = np.flatnonzero(inside[at % self.v] & (self.left >= self.short))
 
+    def cut_characters(self, gone: np.ndarray) -> np.ndarray:
+        """The bytes of all characters of which a byte is gone."""
+        begins = (self.bytes & 0xC0) != 0x80
+        begins[self.starts[:-1][self.sizes > 0]] = True
+        first = np.flatnonzero(begins)
+        return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.r_[first, len(gone)]))
+
     def sample_names(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct sample hashes by bucket, each one's bucket; place of each sample."""
         names, place = np.unique(self.hashes[self.samples], return_inverse=True)
@@ -362,7 +368,7 @@ def _store_segments(batches: Iterator[pa.RecordBatch], out: str, text_at: int) -
         yield flush()
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept (binary: the bytes left).
 
     Texts are taken as UTF-8 bytes, null as empty. All strings are judged on the
@@ -370,7 +376,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     stays. A null key comes after all others; null keys count as one document.
     Texts shorter than ``length`` are kept whole. Every row gives one row; other
     columns are passed on, but for ones called like the four new ones, which are
-    replaced. An empty table gives an empty result.
+    replaced. An empty table gives an empty result. With ``whole_characters`` a UTF-8
+    character of which a byte goes is left out of ``kept`` altogether; the counts stay
+    those of the bytes.
     """
     spark = docs.sparkSession
     new = ["n_bytes", "n_removed", "n_spans", "kept"]
@@ -461,8 +469,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         opens[inner] = gone[inner]  # a run ends with its document
         spans = np.r_[0, np.cumsum(opens)]
         spans = spans[s.starts[1:]] - spans[s.starts[:-1]]
+        left = s.sizes - removed
+        if whole_characters and gone.any():
+            gone = s.cut_characters(gone)
+            lost = np.r_[0, np.cumsum(gone)]
+            left = s.sizes - (lost[s.starts[1:]] - lost[s.starts[:-1]])
         kept = s.bytes[~gone].tobytes()
-        ends = np.cumsum(s.sizes - removed).tolist()
+        ends = np.cumsum(left).tolist()
         parts = [kept[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
         release()
         added = [pa.array(s.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(parts, pa.binary())]
@@ -478,11 +491,3 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     cut = every.unionByName(ranked).groupBy("segment").applyInArrow(runs, "segment string, bucket int, blob binary, sizes binary, ids binary")
     sorted_ = written(cut.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, length), REPLY), "sorted-runs")
     return every.unionByName(ranked).unionByName(sorted_).groupBy("segment").applyInArrow(cleaned, schema)
-
-
-def kept_sha256(column: str = "kept"):
-    return F.sha2(F.col(column), 256)
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

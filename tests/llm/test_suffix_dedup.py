@@ -92,3 +92,34 @@ def test_a_common_phrase_fills_no_bucket(spark, rows_of, monkeypatch):
     for r in rows_of(made["sorted-runs"]):
         sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(r["bits"])
     assert sum(sizes.values()) > 10_000 and max(sizes.values()) < 0.1 * sum(sizes.values())
+
+
+def test_cut_characters_go_whole_and_genuine_ones_stay(spark, rows_of):
+    """By a plain loop over characters: one stays if all its bytes do, U+FFFD too."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice(["a", "é", "€", "\ufffd", " ", "😀"]) for _ in range(n))
+    bits = [prose(n) for n in (30, 45, 80)]
+    # the same continuation bytes after other first bytes, so that cuts fall inside characters
+    docs = [(i, prose(5) + rng.choice(bits) + rng.choice("éĩũ") + rng.choice(bits) + prose(5)) for i in range(60)] + [(99, None), (100, ""), (101, "\ufffd")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    seen, whole = {}, {r["doc_id"]: r for r in rows_of(suffix_dedup.remove_repeats(df, 50, whole_characters=True))}
+    plain = {r["doc_id"]: r for r in rows_of(suffix_dedup.remove_repeats(df, 50))}
+    cut = 0
+    for i, t in docs:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw) + 1, bool)
+        for at in range(len(raw) - 49):
+            if seen.get(raw[at : at + 50], i) < i:
+                gone[at : at + 50] = True
+        for at in range(len(raw) - 49):
+            seen.setdefault(raw[at : at + 50], i)
+        out, at = b"", 0
+        for c in t or "":
+            size = len(c.encode())
+            some = gone[at : at + size]
+            cut += bool(some.any() and not some.all())
+            out += b"" if some.any() else c.encode()
+            at += size
+        assert bytes(whole[i]["kept"]) == out and out.decode() is not None
+        assert [whole[i][c] for c in ("n_bytes", "n_removed", "n_spans")] == [plain[i][c] for c in ("n_bytes", "n_removed", "n_spans")]
+    assert cut
