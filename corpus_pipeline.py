@@ -15,7 +15,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go. Null and empty texts score low and stay;
+    repeated rows are judged alike; labels without a document or a value teach
+    nothing, and with none of one kind everything stays. Columns beyond those of
+    documents are not handed on, here and in all stages."""
     labels = table(spark, sf_dir, "labels").where(toxicity.learnable())
     lexicon = toxicity.fit_lexicon(docs.select("doc_id", "text"), labels)
     return toxicity.score_toxicity(docs.select(*COLUMNS), lexicon).where("predicted = 0").select(*COLUMNS)
@@ -23,7 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (sets of five-word shingles with a Jaccard
-    similarity of 0.8 or more) the document with the smallest id stays."""
+    similarity of 0.8 or more) the document with the smallest id stays. Null, empty
+    and wordless texts have equal sets, so one of them stays, as of repeated rows; a
+    null id is larger than all others; an empty table gives no rows."""
     return simhash.keep_one(docs.select(*COLUMNS), k=5, similarity=SIMILAR)
 
 
@@ -33,20 +38,21 @@ SIMILAR = Fraction(4, 5)
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes that also start in an earlier document go; a document of
-    which nothing is left goes with them. Passages are bytes; of a character that
-    is cut through, the rest goes too."""
-    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), 50)
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    whole = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(text)
-    kept = found.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", whole)
-    changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return kept.withColumn("n_chars", changed).select(*COLUMNS)
+    which nothing is left goes with them. Passages are bytes; a character that is cut
+    through goes whole, all others stay as they are, U+FFFD too. Null and empty texts
+    and texts without repeats stay; of equal texts under one id all do; a null id is
+    later than all others; an empty table gives no rows."""
+    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), 50, whole_characters=True)
+    changed = F.col("n_removed") > 0
+    kept = found.where("n_removed = 0 or octet_length(kept) > 0").withColumn("text", F.when(changed, F.col("kept").cast("string")).otherwise(F.col("text")))
+    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words stand in 13-word windows
     of the benchmark go. The text alone decides, so rows are told apart by its hash:
-    clean rows stay whatever other rows of their id hold, null ids included."""
+    clean rows stay whatever other rows of their id hold, null ids included. Null and
+    empty texts have no words and stay; with an empty benchmark all rows do."""
     index = decontam.build_index(docs.select(F.xxhash64("text").alias("_hash"), "text"), key="_hash")
     found = decontam.contamination(decontam.search(index, table(spark, sf_dir, "benchmark")))
     bad = runtime.written(found.where("contaminated").select(F.col("doc_id").alias("_hash")).distinct(), "contaminated")
@@ -54,7 +60,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and the digests of the round trip."""
+    """Token ids of what is left, and the digests of the round trip: a row for each,
+    repeated and null ids and null texts (no tokens) included."""
     return bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path()).drop("text")
 
 
