@@ -53,10 +53,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     of the benchmark go. The text alone decides, so rows are told apart by its hash:
     clean rows stay whatever other rows of their id hold, null ids included. Null and
     empty texts have no words and stay; with an empty benchmark all rows do."""
+    docs = docs.select(*COLUMNS)
     index = decontam.build_index(docs.select(F.xxhash64("text").alias("_hash"), "text"), key="_hash")
     found = decontam.contamination(decontam.search(index, table(spark, sf_dir, "benchmark")))
     bad = runtime.written(found.where("contaminated").select(F.col("doc_id").alias("_hash")).distinct(), "contaminated")
-    return docs.join(bad, F.xxhash64("text") == F.col("_hash"), "left_anti").select(*COLUMNS)
+    return docs.join(bad, F.xxhash64("text") == F.col("_hash"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
