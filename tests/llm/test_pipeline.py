@@ -48,3 +48,55 @@ def test_contamination_is_decided_by_row(spark, tmp_path, rows_of):
     spark.createDataFrame([("b1", question)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = [(r["doc_id"], r["text"]) for r in rows_of(corpus_pipeline.drop_contaminated(spark, frame, str(tmp_path)))]
     assert sorted(left, key=str) == sorted([d for d in docs if d[1] != bad], key=str)
+
+
+def test_stages_on_odd_rows(spark, odd, none, tmp_path, rows_of):
+    """Nulls, empty and long texts, repeated rows and ids, extra columns, empty tables."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "One two"), (None, None), ("c", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = odd.selectExpr("*", "1 as score", "'x' as kept", "2 as n_removed", "3 as _hash", "4 as component_id")
+    rows = sorted((tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in rows_of(odd)), key=str)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS and out.schema["text"].dataType.simpleString() == "string"
+        left[name] = sorted((tuple(r) for r in out.collect()), key=str)
+        assert rows_of(stage(spark, none, str(tmp_path))) == []
+    assert left["toxicity"] == rows  # nothing was labelled toxic and no
+    ids = [r[0] for r in left["simhash"]]
+    assert {3, 1, 5, 6} & set(ids) == {3, 1, 6} and len([i for i in ids if i == 2]) == 0
+    assert left["decontamination"] == [r for r in rows if (r[1] or "").lower() != "one two"]
+    assert len(rows_of(corpus_pipeline.encode(spark, more, str(tmp_path)))) == len(rows)
+
+
+def test_repeats_by_brute_force(spark, odd, rows_of):
+    """Every row of the stage by plain loops over bytes and characters."""
+    bad = "caf� �kept? "
+    shared = "".join(f"€{i}" for i in range(40))
+    docs = [(r["doc_id"], r["text"]) for r in rows_of(odd)] + [(500, f"x{shared}y"), (501, f"{bad}{shared} two�"), (502, shared), (503, f"é{shared[1:]}")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    key = lambda i: float("inf") if i is None else i
+    first = {}
+    for i, t in docs:
+        raw = (t or "").encode()
+        for at in range(len(raw) - 49):
+            first[raw[at : at + 50]] = min(key(i), first.get(raw[at : at + 50], key(i)))
+    expected = []
+    for i, t in docs:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for at in range(len(raw) - 49):
+            if first[raw[at : at + 50]] < key(i):
+                gone[at : at + 50] = True
+        out, at = "", 0
+        for c in t or "":
+            out += "" if gone[at : at + len(c.encode())].any() else c
+            at += len(c.encode())
+        if not gone.any():
+            expected.append((i, t, 7))
+        elif out:
+            expected.append((i, out, len(out)))
+    found = [(r["doc_id"], r["text"], r["n_chars"]) for r in rows_of(corpus_pipeline.drop_repeats(spark, frame, ""))]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert any(r[0] == 501 and r[1].startswith(bad) and r[1].endswith("�") for r in found) and not any(r[0] == 502 for r in found)
