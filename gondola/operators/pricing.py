@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.exprs import avg_ratio, avg_rounded, count_if, pct, position_counts, present, ratio, rounded, share_pct
+from gondola.operators import paging
 from gondola.operators.filters import FranchiseParams, ProductParams, SilhouetteParams
 from gondola.schema import NAMES, Names
 
@@ -82,13 +83,33 @@ PRODUCT_COLUMNS = [
 ]
 
 
+def _listing(pricing: DataFrame, params: ProductParams) -> tuple[DataFrame, list[Column]]:
+    rows = pricing.where(params.predicate()).select(*PRODUCT_COLUMNS)
+    rest = [F.asc_nulls_first(c) for c in PRODUCT_COLUMNS if c != "competitor_final_price"]
+    return rows, [F.desc_nulls_last("competitor_final_price"), *rest]
+
+
+#: Rows up to a page's end from which it is found by histograms, not by a sort of all before it.
+DEEP = 10_000
+
+
 def product_page(pricing: DataFrame, params: ProductParams = ProductParams()) -> DataFrame:
     """One page of products, dearest first, products without a price last."""
     size = min(100, params.page_size)
-    rows = pricing.where(params.predicate()).select(*PRODUCT_COLUMNS)
-    rest = [F.asc_nulls_first(c) for c in PRODUCT_COLUMNS if c != "competitor_final_price"]
-    ordered = rows.orderBy(F.desc_nulls_last("competitor_final_price"), *rest)
-    return ordered.offset((max(1, params.page) - 1) * size).limit(size)
+    skip = (max(1, params.page) - 1) * size
+    if skip + size > DEEP:
+        return deep_page(pricing, params)
+    rows, order = _listing(pricing, params)
+    return rows.orderBy(*order).offset(skip).limit(size)
+
+
+def deep_page(pricing: DataFrame, params: ProductParams, held: int = paging.HELD) -> DataFrame:
+    """The same page however far down it is: a few counting scans, then a sort of at
+    most ``held`` rows (of more only if they share price and id)."""
+    size = min(100, params.page_size)
+    rows, order = _listing(pricing, params)
+    keys = [paging.Key("competitor_final_price", -(_price() * 100).cast("long"), True), paging.Key("id", F.col("id").cast("long"), False)]
+    return paging.page(rows, keys, order, (max(1, params.page) - 1) * size, size, held)
 
 
 def product_total(pricing: DataFrame, params: ProductParams = ProductParams()) -> DataFrame:

@@ -1,7 +1,7 @@
 """The answers as users see them: one JSON body for each response.
 
-A body's parts come from few scans: the summary's five statements are one scan,
-grouped by brand and franchise. An error is an exception, not a body.
+The five statements of each summary are one scan: of prices grouped by brand and
+franchise, of searches by channel and term. Other bodies scan once for each list. An error is an exception, not a body.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.exprs import position_counts, present, rounded
+from gondola.functions.exprs import EXACT, half_up, position_counts, present, rounded
 from gondola.operators import pricing as price
 from gondola.operators import shelf as shelves
-from gondola.operators.filters import ProductParams
+from gondola.operators.filters import FranchiseParams, ProductParams, SilhouetteParams
 from gondola.schema import NAMES, Names
 
 
@@ -59,8 +59,7 @@ def pricing_summary(pricing: DataFrame, names: Names = NAMES) -> DataFrame:
 def products(pricing: DataFrame, params: ProductParams = ProductParams()) -> DataFrame:
     """The page's rows with total, page, pageSize and totalPages."""
     page = price.product_page(pricing, params)
-    line = F.struct(*[F.col(c) for c in page.columns])
-    listed = page.select(F.struct(F.monotonically_increasing_id().alias("at"), line.alias("line")).alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]).alias("products"))
+    listed = _in_order(page, "products")
     total = price.product_total(pricing, params)
     both = listed.unionByName(total, allowMissingColumns=True).agg(F.first("products", ignorenulls=True).alias("products"), F.max("total").alias("total"))
     return body(both.select("products", "total", *page_numbers(F.col("total"), params)))
@@ -73,21 +72,71 @@ def page_numbers(total: Column, params: ProductParams) -> list[Column]:
     return [F.lit(known["page"]).alias("page"), F.lit(known["pageSize"]).alias("pageSize"), pages.alias("totalPages")]
 
 
+def _in_order(rows: DataFrame, name: str) -> DataFrame:
+    """One row: the rows, which are sorted and few, as a list."""
+    line = F.struct(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(c) for c in rows.columns]).alias("line"))
+    return rows.select(line.alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]).alias(name))
+
+
+def _joined(*lists: DataFrame) -> DataFrame:
+    """One row of one-row tables of one column each."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.agg(*[F.first(x.columns[0], ignorenulls=True).alias(x.columns[0]) for x in lists])
+
+
+def franchises(pricing: DataFrame, params: FranchiseParams = FranchiseParams()) -> DataFrame:
+    return body(_in_order(price.franchises(pricing, params), "franchises"))
+
+
+def silhouettes(pricing: DataFrame, params: SilhouetteParams = SilhouetteParams()) -> DataFrame:
+    return body(_in_order(price.silhouettes(pricing, params), "siluetas"))
+
+
+def pvp_compliance(pricing: DataFrame, names: Names = NAMES) -> DataFrame:
+    return body(_joined(_in_order(price.pvp_by_retailer(pricing, names), "retailers"), _in_order(price.pvp_violations(pricing, names), "violations")))
+
+
+def markdown_analysis(pricing: DataFrame, names: Names = NAMES) -> DataFrame:
+    by_retailer, by_brand, top = (f(pricing, names) for f in (price.markdown_by_retailer, price.markdown_by_brand, price.top_markdowns))
+    return body(_joined(_in_order(by_retailer, "by_retailer"), _in_order(by_brand, "by_marca"), _in_order(top, "top_markdowns")))
+
+
+def shelf_parts(shelf: DataFrame, names: Names = NAMES) -> DataFrame:
+    """One row with the parts of the shelf summary, as Q17 to Q22 give them one by one,
+    from one scan: a row for each channel and term holds the term's winner and what
+    each brand adds to its mean, and all parts are sums of these rows."""
+    seen, exact = F.col("nike_visibility"), F.col("nike_visibility").cast(EXACT)
+    place = F.when(F.isnan(seen), F.lit(float("-inf"))).otherwise(-seen)
+    brands = [b.lower() for b in names.shelf]
+    sums = [x for b, c in zip(names.shelf, brands, strict=True) for x in (F.sum(F.when(F.col("marca") == b, exact)).alias(f"s_{c}"), F.count(F.when(F.col("marca") == b, seen)).alias(f"n_{c}"))]
+    terms = shelf.groupBy("canal", "search_term").agg(F.min(F.when(seen.isNotNull(), F.struct(place.alias("place"), "marca"))).alias("best"), *sums)
+    more = [F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in brands for k in "sn"]
+    won = terms.groupBy("canal", F.col("best.marca").alias("marca")).agg(F.count("*").alias("wins"), F.count("search_term").alias("terms"), *more)
+    line = F.when(F.col("marca").isNotNull(), F.struct((-F.col("wins")).alias("w"), "marca", "wins"))
+    by_channel = won.groupBy("canal").agg(F.sum("terms").alias("total"), F.sort_array(F.collect_list(line)).alias("lines"), *more)
+    of = F.coalesce(F.nullif("total", F.lit(0)), F.lit(1))
+    pct = lambda x: (half_up(x["wins"] / of * 1000) / 10).cast("double")
+    by_channel = by_channel.withColumn("won", F.transform("lines", lambda x: F.struct(x["marca"].alias("marca"), x["wins"].alias("wins"), pct(x).alias("pct"))))
+    mean = lambda c: (F.sum(f"s_{c}").cast("double") / F.nullif(F.sum(f"n_{c}"), F.lit(0))).cast(EXACT).cast("double")
+    mapped = lambda where, value: F.map_from_entries(F.sort_array(F.collect_list(F.when(where, F.struct("canal", value)))))
+    means = [mean(c).alias(c) for c in brands]
+    return by_channel.agg(mapped(F.size("won") > 0, "won").alias("byCanal"), F.struct(*means, F.coalesce(F.sum(f"n_{brands[0]}"), F.lit(0)).alias("n")).alias("global"), mapped(F.lit(True), "total").alias("totalByCanal"))
+
+
 def shelf_summary(shelf: DataFrame, names: Names = NAMES) -> DataFrame:
     """Each channel's winners, the brands' visibility, and the terms of each channel."""
-    line = F.struct("marca", "wins", "pct")
-    order = F.struct((-F.col("wins")).alias("w"), "marca", line.alias("line"))
-    wins = shelves.shelf_shares(shelf).groupBy("canal").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["line"]).alias("won"))
-    wins = wins.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("canal", "won")))).alias("byCanal"))
-    terms = shelves.term_totals(shelf).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("canal", "total")))).alias("totalByCanal"))
-    out = wins.unionByName(terms, allowMissingColumns=True)
-    for nth, brand in enumerate(names.shelf):
-        seen = shelves.brand_visibility(shelf, brand, counted=not nth).withColumnRenamed("avg_visibility", brand.lower())
-        out = out.unionByName(seen, allowMissingColumns=True)
-    first = lambda c: F.first(c, ignorenulls=True)
-    return body(out.agg(first("byCanal").alias("byCanal"), F.struct(*[first(b.lower()).alias(b.lower()) for b in names.shelf], F.coalesce(first("n"), F.lit(0)).alias("n")).alias("global"), first("totalByCanal").alias("totalByCanal")))
+    return body(shelf_parts(shelf, names))
 
 
 def search_lines(shelf: DataFrame, canal: str = "") -> DataFrame:
-    """The search table's rows, a JSON text each: as many as there are searches."""
-    return shelves.search_table(shelf, canal).select(F.to_json(F.struct("*")).alias("body"))
+    """The search table's rows, a JSON text each: as many as there are searches. A
+    brand that was not seen has no field."""
+    return shelves.search_table(shelf, canal).select("canal", "search_term", F.to_json(F.struct("*")).alias("body")).orderBy("canal", "search_term").select("body")
+
+
+def shelf_searches(shelf: DataFrame, canal: str = "") -> DataFrame:
+    """The same as one body, for one reader: {"rows": [...]}, by channel and term."""
+    rows = shelves.search_table(shelf, canal).orderBy("canal", "search_term")
+    return _in_order(rows, "rows").select(F.to_json(F.struct("rows")).alias("body"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,7 +110,7 @@ _CELLS = ", ".join(f"cast({c} as {_PLAIN[c]}) as {c}" if c in _PLAIN else c for
 _ORDER = "competitor_final_price desc nulls last, " + ", ".join(f"{c} nulls first" for c in price.PRODUCT_COLUMNS if c != "competitor_final_price")
 
 
-def _page(where: str, limit: int = 50, offset: int = 0) -> str:
+def _page(where: str, limit: int = 50, offset: int | str = 0) -> str:
     inner = ", ".join(price.PRODUCT_COLUMNS)
     return f"select {_CELLS} from (select {inner} from pricing where {where} order by {_ORDER} limit {limit} offset {offset})"
 
@@ -131,6 +132,20 @@ for _name, (_params, _where) in _PRODUCT_CASES.items():
     _add(f"Q09_total_{_name}", pricing, lambda p, x=_params: price.product_total(p, x), f"select count(*) as total from pricing where {_where}")
 
 
+def _far_page(p: DataFrame, params: ProductParams, of: Callable[[int], int]) -> DataFrame:
+    """A page far down, its number from the total, found by histograms."""
+    pages = price.page_envelope(price.product_total(p, params).first()["total"], 1, params.page_size)["totalPages"]
+    return price.deep_page(p, replace(params, page=of(pages)), held=500)
+
+
+for _name, _params, _where, _of, _sql_of in (
+    ("last_page", ProductParams(), "true", lambda n: n, "n - 1"),
+    ("middle_page", ProductParams(marca=RIVAL, page_size=20), f"marca = '{RIVAL}'", lambda n: n // 2, "n // 2 - 1"),
+):
+    _total = f"(select {_sql_of} from (select cast(ceil(count(*) / {_params.page_size}) as bigint) as n from pricing where {_where}))"
+    _add(f"Q08_products_{_name}", pricing, lambda p, x=_params, f=_of: _far_page(p, x, f), _page(_where, _params.page_size, f"({_params.page_size} * {_total})"))
+
+
 def _envelope(p: DataFrame) -> DataFrame:
     params = ProductParams(marca=RIVAL, page=3, page_size=20)
     return price.product_total(p, params).select("total", *responses.page_numbers(F.col("total"), params))
@@ -395,3 +410,36 @@ def _shelf_back(s: DataFrame) -> DataFrame:
 
 _add("A14_shelf_body", shelf, _shelf_back, f"select (select count(*) from shelf where marca = '{NAMES.shelf[0]}' and nike_visibility is not null) as n, total, canal, marca, wins, pct from {_SHARE} join {_TOTALS} using (canal)")
 _add("A14_search_lines", shelf, lambda s: responses.search_lines(s).select(F.from_json("body", "canal string, search_term string, winner string").alias("x")).select("x.*"), f"select canal, search_term, winner from {_TABLE}")
+
+
+def _list_back(answer: DataFrame, name: str, fields: str) -> DataFrame:
+    """A body's list, with the place of each line."""
+    x = answer.select(F.from_json("body", f"`{name}` array<struct<{fields}>>").alias("x"))
+    return x.select(F.posexplode(f"x.{name}").alias("place", "line")).select(F.col("place").cast("long").alias("place"), "line.*")
+
+
+def _bare(key: str) -> str:
+    sql = ORACLES[key]
+    return sql.removeprefix(PRICING_SQL).removeprefix(SHELF_SQL)
+
+
+def _placed(key: str, order: str, columns: str = "*") -> str:
+    return f"select row_number() over (order by {order}) - 1 as place, {columns} from ({_bare(key)})"
+
+
+_LISTS = {
+    "franchises": (responses.franchises, "franchises", "franchise:string,marca:string,division:string,count:long,avg_price:double,nd:long,avg_sizes:double", "Q06_franchises", '"count" desc, franchise, marca, division nulls first', 'franchise, marca, division, "count", avg_price, nd, avg_sizes'),
+    "silhouettes": (responses.silhouettes, "siluetas", "silueta:string,marca:string,count:long,avg_price:double,beat:long,lose:long", "Q07_silhouettes", '"count" desc, silueta, marca', "*"),
+    "pvp_retailers": (responses.pvp_compliance, "retailers", "scraper:string,total:long,compliant:long,avg_pvp:double,compliance_pct:long", "Q11_pvp_by_retailer", "total desc, scraper", "scraper, total, compliant, avg_pvp, compliance_pct"),
+    "pvp_violations": (responses.pvp_compliance, "violations", "scraper:string,style_color:string,marketing_name:string,franchise_scrapper:string,competitor_final_price:double,precio_sugerido:double,diff_pct:double,link_pdp_competitor:string", "Q13_pvp_violations", "diff_pct nulls last, " + ", ".join(f"{c} nulls first" for c in _VIOLATION.split(", ")), "*"),
+    "markdown_retailers": (responses.markdown_analysis, "by_retailer", "scraper:string,marca:string,total:long,in_promo:long,promo_pct:double,avg_markdown_abs:double,avg_markdown_pct:double", "Q14_markdown_by_retailer", "promo_pct desc, scraper, marca nulls first", "*"),
+    "markdown_brands": (responses.markdown_analysis, "by_marca", "marca:string,total:long,in_promo:long,promo_pct:double,avg_markdown_pct:double", "Q15_markdown_by_brand", "promo_pct desc, marca nulls first", "*"),
+    "markdown_top": (responses.markdown_analysis, "top_markdowns", "scraper:string,marca:string,style_color:string,competitor_final_price:double,markdown_pct:double", "Q16_top_markdowns", "markdown_pct desc, " + ", ".join(f"{c} nulls first" for c in _TOP.split(", ")), "scraper, marca, style_color, competitor_final_price, markdown_pct"),
+}
+for _name, (_answer, _list, _fields, _key, _order, _columns) in _LISTS.items():
+    _add(f"A14_{_name}_body", pricing, lambda p, f=_answer, n=_list, x=_fields: _list_back(f(p), n, x), _placed(_key, _order, _columns))
+_add("A14_searches_body", shelf, lambda s: _list_back(responses.shelf_searches(s), "rows", "canal:string,search_term:string,nike:double,adidas:double,puma:double,winner:string"), _placed("Q25_search_winner", "canal, search_term"))
+_add(
+    "A14_shelf_means", shelf, lambda s: responses.shelf_parts(s).select("global.*"),
+    "select " + ", ".join(f"(select avg_visibility from ({_bare(k)})) as {b}" for k, b in (("Q20_visibility_own", "nike"), ("Q21_visibility_rival", "adidas"), ("Q22_visibility_second", "puma"))) + f", (select n from ({_bare('Q20_visibility_own')})) as n",
+)
