@@ -10,10 +10,44 @@ gathered in one place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.runtime import drop_written, written
+from gondola.llm.runtime import drop_written, releasing, written
+
+
+#: Edges that a task thins at once: a bound on its memory.
+THINNED = 1 << 18
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's edges without those whose ends its earlier edges connect."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for batch in batches:
+        kept = []
+        for i, (a, b) in enumerate(zip(batch["src"].to_pylist(), batch["dst"].to_pylist(), strict=True)):
+            a, b = find(a), find(b)
+            if a != b:
+                root[a] = b
+                kept.append(i)
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer of a written table's ``edges`` (src, dst, none null) with the same components:
+    each task keeps a forest of its share. Where many tables have found the same
+    near group, most of their edges say nothing new."""
+    tasks = max(4, -(-edges.count() // THINNED))
+    return edges.repartition(tasks).mapInArrow(releasing(_forest), edges.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.components import components
+from gondola.llm.components import components, thinned
 from gondola.llm.runtime import LOWER, drop_written, release, releasing, utf8, written
 from gondola.llm.shingle_sets import digests, exact_links, few_texts, set_id
 
@@ -355,7 +355,7 @@ def similar_sets(docs: DataFrame, k: int, similarity: Fraction, key: str = "doc_
     rows = written(hashed.mapInArrow(releasing(run), schema), "wide-fingerprints")
     nodes = written(rows.groupBy("id").agg(F.min(key).alias("first"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp")), "nodes")
     near = written(wide_edges(nodes, bits, certain=False, ids=True).distinct(), "candidates")
-    groups = components(near)
+    groups = components(thinned(near))
     members = nodes.join(groups.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id").select("id", "comp", "text_hash", F.substring("fp", 1, 8 * WORDS_WIDE).alias("fp"))
     links = exact_links(members, hashed.select("text_hash", "text"), k, similarity, bits)
     found = written(rows.withColumnRenamed("fp", "_").withColumnRenamed("id", "fp").join(_named(nodes.select(F.col("id").alias("fp"), "first"), links), "fp").select(key, "text_hash", "component_id", "root"), "similar")

@@ -129,3 +129,24 @@ def test_a_repeated_line_deletes_no_documents(spark, rows_of):
     docs = [(i, f"{line} " * 20 + " ".join(f"d{i}x{x}" for x in range(100))) for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert len(rows_of(simhash.keep_one(df))) == len(rows_of(simhash.keep_one(df, similarity=Fraction(4, 5)))) == 12
+
+
+def test_thinned_edges_have_the_same_components(spark, rows_of, monkeypatch):
+    from gondola.llm import components as c
+    from gondola.llm.runtime import written
+
+    rng = np.random.default_rng(12)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (3000, 2))] + [(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(0, 400, (150, 2))]
+    edges = written(spark.createDataFrame(pairs, "src long, dst long"), "edges-test")
+    monkeypatch.setattr(c, "THINNED", 500)
+    thin = written(c.thinned(edges), "thin-test")
+    assert thin.count() < 800 and {tuple(r.values()) for r in rows_of(thin)} <= set(pairs)
+
+    def classes(df):
+        out = {}
+        for r in rows_of(c.components(df)):
+            out.setdefault(r["root"], set()).add(r["node"])
+        return sorted(map(sorted, out.values()))
+
+    assert classes(thin) == classes(edges)
+    assert rows_of(c.thinned(edges.limit(0))) == []
