@@ -171,6 +171,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select(meta("file_path").alias("file"), meta("file_block_start").alias("start"), meta("file_block_length").alias("length"), "value")
 
 
+def _dealt(lines: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
+    """The lines with what is known of their ranges, each range's lines in order."""
+    on = ["file", "start"]
+    if ranges.count() <= SENT_RANGES:
+        return lines.join(F.broadcast(ranges), on, how)
+    return lines.withColumn("_n", F.monotonically_increasing_id()).join(ranges, on, how).repartition(*on).sortWithinPartitions(*on, "_n").drop("_n")
+
+
 def _begun(ranges: DataFrame) -> DataFrame:
     """The ranges with ``inside``: 1 where one begins inside a quoted cell. A range maps
     either beginning to an end: to one end, whatever the beginning (``fixed``), or it
@@ -198,7 +206,7 @@ def _over_borders(begun: DataFrame, lines: DataFrame) -> DataFrame:
     again = pieces.where("long").select("file", "start", "inside").distinct()
     short = pieces.select("file", "start", "at", "text")
     if not again.isEmpty():
-        read = lines.join(again, ["file", "start"]).select("file", "start", "length", "value", "inside").withColumn("_n", F.monotonically_increasing_id()).repartition("file", "start").sortWithinPartitions("file", "start", "_n").drop("_n") if again.count() > SENT_RANGES else lines.join(F.broadcast(again), ["file", "start"]).select("file", "start", "length", "value", "inside")
+        read = _dealt(lines, again, "inner").select("file", "start", "length", "value", "inside")
         short = pieces.join(again, ["file", "start"], "left_anti").select("file", "start", "at", "text").unionByName(read.mapInArrow(_long_pieces, "file string, start long, at int, text string"))
     order = Window.partitionBy("file").orderBy("start", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = short.withColumn("nth", F.sum("at").over(order)).groupBy("file", "nth").agg(F.sort_array(F.collect_list(F.struct("start", "at", "text"))).alias("x"), F.min("start").alias("start"))
@@ -252,9 +260,6 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     starts = begun.select("file", "start", F.col("length").alias("_length"), "inside")
     # the same ranges must come again: if the reader cut the file otherwise, stop
     same = F.when(F.col("_length") == F.col("length"), F.col("inside")).otherwise(F.raise_error(F.lit("the file's ranges changed between two passes; read it again")).cast("int"))
-    if ranges.count() <= SENT_RANGES:
-        known = lines.join(F.broadcast(starts), ["file", "start"], "left")
-    else:
-        known = lines.withColumn("_n", F.monotonically_increasing_id()).join(starts, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "_n")
+    known = _dealt(lines, starts, "left")
     cut = known.select("file", "start", "length", "value", same.alias("inside")).mapInArrow(_records, "record string")
     return cut.unionByName(_over_borders(begun, lines)).where("record <> ''").select(*parsed(F.col("record"), names))
