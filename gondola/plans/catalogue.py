@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.functions.exprs import position_counts
+from gondola.operators import kept
 from gondola.operators import present as show
 from gondola.operators import pricing as price
 from gondola.operators import responses
@@ -443,3 +444,27 @@ _add(
     "A14_shelf_means", shelf, lambda s: responses.shelf_parts(s).select("global.*"),
     "select " + ", ".join(f"(select avg_visibility from ({_bare(k)})) as {b}" for k, b in (("Q20_visibility_own", "nike"), ("Q21_visibility_rival", "adidas"), ("Q22_visibility_second", "puma"))) + f", (select n from ({_bare('Q20_visibility_own')})) as n",
 )
+
+
+def _kept(rows: DataFrame, table: str, view: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A view from its state after five loads: one that a truncate hides, two refreshed, one
+    folded with them, one as it is read."""
+    from gondola.sources.ingest import append
+    from gondola.sources.paths import new_path
+    from gondola.sources.states import Kept
+    from gondola.sources.versions import VersionedTable
+
+    path = new_path(rows.sparkSession, table)
+    state = Kept(VersionedTable(rows.sparkSession, path), kept.PRICE_STATE if table == "pricing" else kept.SHELF_STATE)
+    part = lambda n: rows.where(F.pmod("id", F.lit(4)) == n)
+    for n, then in ((3, state.refresh), (0, state.refresh), (1, state.refresh), (2, state.compact)):
+        append(part(n), path, table, truncate=n == 0)
+        then()
+    append(part(3), path, table)
+    return view(state.rows())
+
+
+for _key, _view in (("V01_bml_summary", kept.bml_summary), ("V02_franchise_summary", kept.franchise_summary), ("V03_shelf_share", kept.shelf_share)):
+    _add(f"{_key}_kept", pricing, lambda p, v=_view: _kept(p, "pricing", v), _bare(_key))
+for _key, _view in (("Q17_winners", kept.winners), ("Q18_term_totals", kept.term_totals), ("Q19_shelf_shares", kept.shelf_shares), ("Q25_search_winner", kept.search_table)):
+    _add(f"{_key}_kept", shelf, lambda s, v=_view: _kept(s, "shelf", v), _bare(_key))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gondola.schema import ALERTS, LOADED, PRICING, RUNS
+from gondola.schema import ALERTS, LOADED, PRICING, RUNS, SHELF
 from gondola.sources.csv_ranges import read_ranges
 from gondola.sources.versions import RUNNING, VersionedTable, numbered
 
@@ -81,20 +81,21 @@ def clean(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 # What a column holds where an insert doesn't name it.
 DEFAULTS: dict[str, dict[str, Callable[[], Column]]] = {
     "pricing": {"created_at": F.current_timestamp},
+    "shelf": {"created_at": F.current_timestamp},
     "runs": {
         "id": F.uuid, "status": lambda: F.lit("running"), "rows_inserted": lambda: F.lit(0), "rows_updated": lambda: F.lit(0),
         "errors": F.array, "started_at": F.current_timestamp,
     },
     "alerts": {"id": F.uuid, "severity": lambda: F.lit("warning"), "context": F.create_map, "sent_email": lambda: F.lit(False), "created_at": F.current_timestamp},
 }
-_SCHEMAS = {"pricing": PRICING, "runs": RUNS, "alerts": ALERTS}
+_SCHEMAS = {"pricing": PRICING, "shelf": SHELF, "runs": RUNS, "alerts": ALERTS}
 
 
 def with_defaults(rows: DataFrame, table: str = "pricing") -> DataFrame:
-    """The rows as an insert into ``table`` (pricing, runs or alerts) would store them:
+    """The rows as an insert into ``table`` (a key of DEFAULTS) would store them:
     columns that they lack hold their default, else null; those they have stand as
     they are, nulls too. A row without a value that the table demands is an error;
-    the pricing table's id comes from the load, not from here."""
+    the ids of pricing and shelf come from the load, not from here."""
     given, out = set(rows.columns), []
     for field in _SCHEMAS[table].fields:
         default = DEFAULTS[table].get(field.name)
@@ -175,11 +176,34 @@ def load(spark: SparkSession, path: str, table: str, truncate: bool = False, nam
     return LoadReport(run_id, run.status, run.rows + run.errors, run.rows, run.errors, time.monotonic() - clock)
 
 
+def append(rows: DataFrame, path: str, table: str = "pricing", truncate: bool = False, name: str = "append", run_id: str | None = None, dead_after: dt.timedelta = dt.timedelta(hours=12)) -> LoadReport:
+    """Load rows that are already typed (a table that Spark read, a feed without CSV) into
+    the ``table`` (pricing or shelf) at ``path``, visible in one step like ``load``'s. Columns
+    that the table lacks are ignored, an id is given anew, a value that the table can't
+    hold is an error."""
+    clock = time.monotonic()
+    spark, schema = rows.sparkSession, _SCHEMAS[table]
+    target, run_id = VersionedTable(spark, path), run_id or str(uuid.uuid4())
+    run = target.begin(run_id, name, dead_after)
+    if run.status == RUNNING:
+        fields = [f for f in schema.fields if f.name in rows.columns and f.name != "id"]
+        rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields]).write.mode("overwrite").parquet(target.staged(run_id))
+        placed, inserted = numbered(spark.read.schema(T.StructType(fields)).parquet(target.staged(run_id)))
+        with_defaults(placed, table).write.mode("overwrite").parquet(target.data(run_id))
+        run = target.finish(run_id, inserted, 0, truncate)
+        target.delete(target.staged(run_id))
+    return LoadReport(run_id, run.status, run.rows, run.rows, 0, time.monotonic() - clock)
+
+
 def read_prices(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
     """The table's rows, as the newest load (or that of ``version``) left it."""
     return VersionedTable(spark, table).read(PRICING, version)
 
 
+def read_shelf(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+    return VersionedTable(spark, table).read(SHELF, version)
+
+
 def run_log(spark: SparkSession, table: str) -> DataFrame:
     """One row for each run, as it stands."""
     return VersionedTable(spark, table).log()

@@ -74,12 +74,20 @@ class VersionedTable:
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
+    def children(self, path: str) -> dict[str, float]:
+        """What lies in a folder, with the time of its last change; nothing if there is none."""
+        folder = self._path(path)
+        found = self._fs.listStatus(folder) if self._fs.exists(folder) else []
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in found}
+
+    def rename(self, source: str, target: str) -> None:
+        """An error (FileAlreadyExists) if the target is there."""
+        source_path = self._path(source)
+        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        self._rename.getFileContext(source_path.toUri() if source_path.toUri().getScheme() else self._fs.getUri(), self._conf).rename(source_path, self._path(target), none)
+
     def numbers(self) -> list[int]:
-        folder = self._path(f"{self.path}/versions")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return sorted(int(n[:-5]) for n in self.children(f"{self.path}/versions") if n.endswith(".json") and n[:-5].isdigit())
 
     def _file(self, number: int) -> str:
         return f"{self.path}/versions/{number:012d}.json"
@@ -103,9 +111,8 @@ class VersionedTable:
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps([asdict(r) for r in runs]).encode()))
         out.close()
-        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            self._rename.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self._conf).rename(draft, self._path(self._file(number)), none)
+            self.rename(draft.toString(), self._file(number))
         except Py4JJavaError as e:
             self.delete(draft.toString())
             if "FileAlreadyExists" in str(e.java_exception):
@@ -157,12 +164,18 @@ class VersionedTable:
         runs = [r for r in self.runs(number)[1] if r.visible and r.rows]
         if not runs:
             return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).option("basePath", f"{self.path}/data").parquet(*[self.data(r.id) for r in runs])
+        stored = self.stored([r.id for r in runs], T.StructType([*schema.fields, T.StructField("run", T.StringType())]))
         if len(runs) == 1:
             before = F.lit(runs[0].first_id - 1)
         else:  # a constant for each load; the files' folder says which
             before = F.element_at(F.create_map(*[F.lit(x) for r in runs for x in (r.id, r.first_id - 1)]), F.col("run"))
-        return stored.withColumn(key, (F.col(key) + before).cast("long")).select(*schema.fieldNames())
+        return stored.withColumn(key, (F.col(key) + before).cast(schema[key].dataType)).select(*schema.fieldNames())
+
+    def stored(self, runs: list[str], schema: T.StructType) -> DataFrame:
+        """The runs' rows as they lie in their files, whatever a version shows."""
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[self.data(r) for r in runs])
 
     def quarantined(self) -> DataFrame | None:
         """Rows that finished runs (truncated ones too) put aside; None if there are none."""
