@@ -12,11 +12,12 @@ from gondola.functions.exprs import position_counts
 from gondola.operators import kept
 from gondola.operators import present as show
 from gondola.operators import pricing as price
-from gondola.operators import responses
+from gondola.operators import responses, search
 from gondola.operators import shelf as shelves
 from gondola.operators import views
 from gondola.operators.filters import FranchiseParams, ProductParams, SilhouetteParams
 from gondola.schema import NAMES
+from gondola.sources.states import State
 from gondola.sources.testdata import PRICING_SQL, SHELF_SQL, pricing, shelf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -446,25 +447,33 @@ _add(
 )
 
 
-def _kept(rows: DataFrame, table: str, view: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A view from its state after five loads: one that a truncate hides, two refreshed, one
-    folded with them, one as it is read."""
-    from gondola.sources.ingest import append
+def _after_loads(rows: DataFrame, table: str, of: State) -> tuple[DataFrame, DataFrame]:
+    """The rows and their state after five loads: one that a truncate hides, two refreshed,
+    one folded with them, one as it is read."""
+    from gondola.sources.ingest import append, read_prices, read_shelf
     from gondola.sources.paths import new_path
     from gondola.sources.states import Kept
     from gondola.sources.versions import VersionedTable
 
     path = new_path(rows.sparkSession, table)
-    state = Kept(VersionedTable(rows.sparkSession, path), kept.PRICE_STATE if table == "pricing" else kept.SHELF_STATE)
+    state = Kept(VersionedTable(rows.sparkSession, path), of)
     part = lambda n: rows.where(F.pmod("id", F.lit(4)) == n)
     for n, then in ((3, state.refresh), (0, state.refresh), (1, state.refresh), (2, state.compact)):
         append(part(n), path, table, truncate=n == 0)
         then()
     append(part(3), path, table)
-    return view(state.rows())
+    return (read_prices if table == "pricing" else read_shelf)(rows.sparkSession, path), state.rows()
+
+
+def _searched(p: DataFrame, params: ProductParams) -> DataFrame:
+    """Products found by trigram postings; ids are those of the loads and left out."""
+    rows, rest = search.narrowed(*_after_loads(p, "pricing", search.SEARCH_STATE), params)
+    return rows.where(rest.predicate()).groupBy("style_color", "product_name_competitor", "franchise_competitor").agg(F.count("*").alias("n"))
 
 
 for _key, _view in (("V01_bml_summary", kept.bml_summary), ("V02_franchise_summary", kept.franchise_summary), ("V03_shelf_share", kept.shelf_share)):
-    _add(f"{_key}_kept", pricing, lambda p, v=_view: _kept(p, "pricing", v), _bare(_key))
+    _add(f"{_key}_kept", pricing, lambda p, v=_view: v(_after_loads(p, "pricing", kept.PRICE_STATE)[1]), _bare(_key))
 for _key, _view in (("Q17_winners", kept.winners), ("Q18_term_totals", kept.term_totals), ("Q19_shelf_shares", kept.shelf_shares), ("Q25_search_winner", kept.search_table)):
-    _add(f"{_key}_kept", shelf, lambda s, v=_view: _kept(s, "shelf", v), _bare(_key))
+    _add(f"{_key}_kept", shelf, lambda s, v=_view: v(_after_loads(s, "shelf", kept.SHELF_STATE)[1]), _bare(_key))
+for _name in ("franchise_ilike", "search"):
+    _add(f"F05_F06_{_name}_postings", pricing, lambda p, x=_PRODUCT_CASES[_name][0]: _searched(p, x), f"select style_color, product_name_competitor, franchise_competitor, count(*) as n from pricing where {_PRODUCT_CASES[_name][1]} group by all")

@@ -36,18 +36,21 @@ class State:
     """A mergeable aggregate by ``keys`` of the ``schema``'s rows: ``aggregates`` gives its
     columns over rows, ``merges`` says how partial values of each merge. A group may
     have several partial rows; who reads them merges in the step that groups by
-    what it asks."""
+    what it asks. ``prepare`` makes of the rows what is aggregated; a state with a ``layout``
+    is written in ranges of these columns and sorted by them."""
 
     name: str
     schema: T.StructType
     keys: tuple[str, ...]
     merges: dict[str, str]
     aggregates: Callable[[], dict[str, Column]]
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    layout: tuple[str, ...] = ()
 
     def of(self, rows: DataFrame) -> DataFrame:
         columns = self.aggregates()
         # sums of decimals keep one type, however often they are merged
-        return _widened(rows.groupBy(*self.keys).agg(*[columns[c].alias(c) for c in self.merges]))
+        return _widened(self.prepare(rows).groupBy(*self.keys).agg(*[columns[c].alias(c) for c in self.merges]))
 
     def merged(self, partial: DataFrame) -> DataFrame:
         return _widened(partial.groupBy(*self.keys).agg(*[MERGES[how](c).alias(c) for c, how in self.merges.items()]))
@@ -68,7 +71,8 @@ class Kept:
 
     def _published(self, frame: DataFrame, name: str) -> None:
         draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
-        frame.write.parquet(draft)
+        layout = self.state.layout
+        (frame.repartitionByRange(*layout).sortWithinPartitions(*layout) if layout else frame).write.parquet(draft)
         try:
             self.table.rename(draft, f"{self.path}/{name}")
         except Py4JJavaError as e:
