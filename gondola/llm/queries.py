@@ -147,6 +147,15 @@ cover as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k
 items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from hit) group by r)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join cover using (r) left join items using (r)""",
+    "op9_repeated_passages": """with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as h from documents),
+s as (select r, doc_id, k, h[k + 1:k + 50] as piece from (select r, doc_id, h, unnest(range(0, octet_length(h) - 49)) as k from d where octet_length(h) >= 50)),
+low as (select piece, min(doc_id) as first from s group by piece having count(*) > 1),
+hit as (select r, k, lag(k) over (partition by r order by k) as before from s join low using (piece) where first < doc_id),
+run as (select r, min(k) as a, max(k) + 50 as z from (select r, k, count(*) filter (before is null or before + 50 < k) over (partition by r order by k) as g from hit) group by r, g),
+cut as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 0) as left_at from run),
+kept as (select r, sum(z - a) as n_removed, count(*) as n_spans, string_agg(hex(h[left_at + 1:a]), '' order by a) || hex(any_value(h)[max(z) + 1:octet_length(any_value(h))]) as line from cut join d using (r) group by r)
+select doc_id, octet_length(h) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(line, hex(h)))) as kept_sha256
+from d left join kept using (r)""",
     "op11_source_divergence": f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS} as w from documents),
 t as (select r, lang, source, unnest(w) as term from d),
 kept as (select lang, term, count(*) as total from t group by all having count(distinct r) >= 30),
