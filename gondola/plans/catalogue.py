@@ -22,6 +22,7 @@ from gondola.sources.testdata import PRICING_SQL, SHELF_SQL, pricing, shelf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_RUNS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -31,6 +32,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _add(key: str, source: Callable, run: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    _RUNS[key] = run
     QUERIES[key] = lambda spark, sf_dir: plain(run(source(spark, sf_dir)))
     if sql:
         ORACLES[key] = (PRICING_SQL if source is pricing else SHELF_SQL) + sql
@@ -477,3 +479,25 @@ for _key, _view in (("Q17_winners", kept.winners), ("Q18_term_totals", kept.term
     _add(f"{_key}_kept", shelf, lambda s, v=_view: v(_after_loads(s, "shelf", kept.SHELF_STATE)[1]), _bare(_key))
 for _name in ("franchise_ilike", "search"):
     _add(f"F05_F06_{_name}_postings", pricing, lambda p, x=_PRODUCT_CASES[_name][0]: _searched(p, x), f"select style_color, product_name_competitor, franchise_competitor, count(*) as n from pricing where {_PRODUCT_CASES[_name][1]} group by all")
+
+
+def _clustered(p: DataFrame) -> DataFrame:
+    """The rows after three loads: one that a truncate hides, one copied in the questions'
+    order, one read from its own files."""
+    from gondola.sources.clustered import PRICES, Clustered
+    from gondola.sources.ingest import append
+    from gondola.sources.paths import new_path
+    from gondola.sources.versions import VersionedTable
+
+    path = new_path(p.sparkSession, "pricing")
+    copies = Clustered(VersionedTable(p.sparkSession, path), PRICES)
+    part = lambda n: p.where(F.pmod("id", F.lit(3)) == n if n < 2 else F.pmod("id", F.lit(3)) > 0)
+    append(part(1), path)
+    append(part(0), path, truncate=True)
+    copies.refresh()
+    append(part(2), path)
+    return copies.rows()
+
+
+for _key in ("Q06_franchises_d2c", "Q07_silhouettes_own", "Q11_pvp_by_retailer", "Q13_pvp_violations", "Q14_markdown_by_retailer", "Q15_markdown_by_brand", "Q16_top_markdowns"):
+    _add(f"{_key}_clustered", pricing, lambda p, q=_RUNS[_key]: q(_clustered(p)), _bare(_key))

@@ -159,12 +159,17 @@ class VersionedTable:
         at = lambda t: None if t is None else dt.datetime.fromtimestamp(t, dt.UTC)
         return self.spark.createDataFrame([(r.id, r.name, r.status, r.rows, 0, [], at(r.started), at(r.finished)) for r in self.runs()[1]], RUNS)
 
-    def read(self, schema: T.StructType, number: int | None = None, key: str = "id") -> DataFrame:
-        """The visible rows (of version ``number``, or the newest), ``key`` as over all runs."""
+    def read(self, schema: T.StructType, number: int | None = None, key: str = "id", copies: dict[str, str] | None = None) -> DataFrame:
+        """The visible rows (of version ``number``, or the newest), ``key`` as over all runs.
+        Runs named in ``copies`` are read from the folders there, which hold the same rows."""
         runs = [r for r in self.runs(number)[1] if r.visible and r.rows]
         if not runs:
             return self.spark.createDataFrame([], schema)
-        stored = self.stored([r.id for r in runs], T.StructType([*schema.fields, T.StructField("run", T.StringType())]))
+        wide = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+        copied = [r for r in runs if r.id in (copies or {})]
+        parts = [self.stored([r.id for r in runs if r not in copied], wide)] if len(copied) < len(runs) else []
+        parts += [self.spark.read.schema(wide).option("basePath", copies[copied[0].id].rpartition("/")[0]).parquet(*[copies[r.id] for r in copied])] if copied else []
+        stored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         if len(runs) == 1:
             before = F.lit(runs[0].first_id - 1)
         else:  # a constant for each load; the files' folder says which
