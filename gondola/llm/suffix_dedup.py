@@ -24,6 +24,9 @@ depth, which is done a block at a time:
    one string can bring to a bucket is so bounded by BUCKET_BYTES, total /
    HOT_NAMES occurrences, or fewer than REPEATED in each segment. A segment sends
    each distinct run once; a task holds one segment or one bucket.
+
+Beside its texts, a task holds one hash for each byte of a segment, or two words for
+each suffix of a bucket; all that is wider is made a block of positions at a time.
 """
 
 from __future__ import annotations
@@ -60,6 +63,8 @@ HOT_NAMES = 1 << 18
 #: Hashes below this deal (a quarter of them); times in a segment from which one is counted.
 DEALS = 1 << 62
 REPEATED = 4
+#: Positions that are worked on at once.
+BLOCK = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _NO_HASH = np.iinfo(np.uint64).max
 
@@ -72,12 +77,27 @@ def modulus(length: int) -> int:
     return max(fit)
 
 
-def window_hashes(a: np.ndarray, n: int, block: int = 1 << 18) -> np.ndarray:
+def blocks(n: int) -> Iterator[tuple[int, int]]:
+    """Limits of blocks of 0 to n."""
+    return ((at, min(at + BLOCK, n)) for at in range(0, n, BLOCK))
+
+
+def whole_blocks(begins: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Limits of blocks that end where something begins, and the beginnings in each,
+    counted from the block's own."""
+    lo = 0
+    while lo < len(begins):
+        hi = lo + BLOCK
+        hi = hi + int(begins[hi:].argmax()) if begins[hi:].any() else len(begins)
+        yield lo, hi, np.flatnonzero(begins[lo:hi])
+        lo = hi
+
+
+def window_hashes(a: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of the n bytes from each position (fewer at the end: any value).
     Made a block at a time, which bounds the memory beside the result."""
     out = np.empty(len(a), np.uint64)
-    for at in range(0, len(a), block):
-        end = min(at + block, len(a))
+    for at, end in blocks(len(a)):
         out[at:end] = _block_hashes(a[at : end + n - 1], n)[: end - at]
     return out
 
@@ -94,7 +114,7 @@ def _block_hashes(a: np.ndarray, n: int) -> np.ndarray:
                     out, taken = h.copy(), width
                 else:
                     shifted = np.zeros_like(out)
-                    shifted[: len(h) - taken] = h[taken:]
+                    shifted[: max(0, len(h) - taken)] = h[taken:]
                     out *= power
                     out += shifted
                     taken += width
@@ -122,6 +142,18 @@ def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return m
 
 
+def spread(flags: np.ndarray, n: int) -> np.ndarray:
+    """The flags, each set for the n - 1 positions after it too; in place."""
+    width = 1
+    while 2 * width <= n:
+        flags[width:] |= flags[:-width]
+        width *= 2
+    if width < n:
+        step = n - width
+        flags[step:] |= flags[:-step]
+    return flags
+
+
 class Segment:
     """A segment's texts end to end, and what the steps derive from them again."""
 
@@ -139,22 +171,56 @@ class Segment:
         self.starts = np.r_[0, np.cumsum(self.sizes)]
         ids = self.table[key].to_pylist()
         self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)
-        self.doc = np.repeat(np.arange(len(raw), dtype=np.int32), self.sizes)
-        at = np.arange(len(self.bytes), dtype=np.int32)
-        self.left = self.starts[1:].astype(np.int32)[self.doc] - at
-        at -= self.starts[:-1].astype(np.int32)[self.doc]
         self.short = length - self.v + 1
-        self.hashes = window_hashes(self.bytes, self.short) if len(self.bytes) else np.empty(0, np.uint64)
+        self.hashes = window_hashes(self.bytes, self.short)
         inside = np.zeros(self.v, bool)
         inside[list(COVERS[self.v])] = True
-        self.samples = np.flatnonzero(inside[at % self.v] & (self.left >= self.short))
+        fit, found = self.fit(self.short), [np.empty(0, np.int64)]
+        for lo, hi in blocks(len(self.bytes)):
+            begin = np.repeat(self.starts[:-1], np.diff(np.clip(self.starts, lo, hi)))
+            found.append(lo + np.flatnonzero(inside[(np.arange(lo, hi) - begin) % self.v] & fit[lo:hi]))
+        self.samples = np.concatenate(found)
+
+    def fit(self, n: int) -> np.ndarray:
+        """Whether n bytes of its document start at each position."""
+        some = self.sizes > 0
+        edge = np.zeros(len(self.bytes) + 1, np.int8)
+        edge[np.maximum(self.starts[1:] - (n - 1), self.starts[:-1])[some]] += 1
+        edge[self.starts[1:][some]] -= 1
+        return np.cumsum(edge[:-1], dtype=np.int8) == 0
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        """The document of each of the positions."""
+        return np.searchsorted(self.starts[1:], at, side="right")
+
+    def of_docs(self, flags: np.ndarray) -> np.ndarray:
+        """How many flags of positions are set in each document."""
+        out = np.zeros(len(self.sizes), np.int64)
+        for lo, hi in blocks(len(flags)):
+            so_far = np.r_[0, np.cumsum(flags[lo:hi])]
+            out += np.diff(so_far[np.clip(self.starts, lo, hi) - lo])
+        return out
+
+    def gone(self, start: np.ndarray, count: np.ndarray, begin: np.ndarray, flags: np.ndarray, later: np.ndarray) -> np.ndarray:
+        """The bytes that go: the ``length`` bytes of each suffix of the runs (start and
+        number) that has its flag, from where its run's begin, or whose run is later."""
+        out, ends, x = np.zeros(len(self.bytes), bool), np.cumsum(count), 0
+        while x < len(start):
+            y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + BLOCK, side="right")))
+            some = count[x:y]
+            nth = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            out[np.repeat(start[x:y], some) + nth] = flags[np.repeat(begin[x:y], some) + nth] | np.repeat(later[x:y], some)
+            x = y
+        return spread(out, self.length)
 
     def cut_characters(self, gone: np.ndarray) -> np.ndarray:
         """The bytes of all characters of which a byte is gone."""
         begins = (self.bytes & 0xC0) != 0x80
         begins[self.starts[:-1][self.sizes > 0]] = True
-        first = np.flatnonzero(begins)
-        return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.r_[first, len(gone)]))
+        out = np.empty(len(gone), bool)
+        for lo, hi, first in whole_blocks(begins):
+            out[lo:hi] = np.repeat(np.logical_or.reduceat(gone[lo:hi], first), np.diff(np.r_[first, hi - lo]))
+        return out
 
     def sample_names(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct sample hashes by bucket, each one's bucket; place of each sample."""
@@ -166,13 +232,11 @@ class Segment:
         return names[order], bucket[order], back[place]
 
     def candidates(self, shared: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Positions whose ``length`` bytes hold a shared sample string."""
-        known = self.samples[shared[place]]
-        near = np.zeros(len(self.bytes) + 1, np.int32)
-        low = np.maximum(known - (self.v - 1), self.starts[:-1][self.doc[known]])
-        near += np.bincount(low, minlength=len(near)).astype(np.int32)
-        near -= np.bincount(known + 1, minlength=len(near)).astype(np.int32)
-        return np.flatnonzero((np.cumsum(near[:-1]) > 0) & (self.left >= self.length))
+        """Whether the ``length`` bytes from each position hold a shared sample string."""
+        near = np.zeros(len(self.bytes), bool)
+        near[self.samples[shared[place]]] = True
+        # what this sets in an earlier document doesn't fit there
+        return spread(near[::-1], self.v)[::-1] & self.fit(self.length)
 
     def repeated(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes that deal and stand several times in the segment, by bucket; the
@@ -183,28 +247,37 @@ class Segment:
         order = np.argsort(bucket, kind="stable")
         return names[order], bucket[order], count[order]
 
-    def dealing(self, hot: np.ndarray, buckets: int) -> np.ndarray:
-        """The hashes, but those that don't deal or are among ``hot`` (sorted keys)."""
-        out = np.where(self.hashes < DEALS, self.hashes, _NO_HASH)
+    def dealing(self, lo: int, hi: int, hot: np.ndarray, low: np.ndarray, buckets: int) -> np.ndarray:
+        """The hashes of a block, but those that don't deal or are among ``hot`` (sorted
+        keys; ``low``: whether a lower quarter of a hash is among theirs)."""
+        out = np.where(self.hashes[lo:hi] < DEALS, self.hashes[lo:hi], _NO_HASH)
         if len(hot):
-            low = np.zeros(1 << 16, bool)
-            low[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
             at = np.flatnonzero(low[(out & np.uint64(0xFFFF)).astype(np.int64)])
             out[at[np.isin(hot_keys(out[at], buckets), hot)]] = _NO_HASH
         return out
 
-    def runs(self, at: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, number of suffixes and least dealing hash of each run of the positions;
-        a suffix without one has its own hash."""
-        if not len(at):
-            return at, at, np.empty(0, np.uint64)
-        least = sliding_min(self.dealing(hot, buckets), self.v)[at]
-        alone = least == _NO_HASH
-        if alone.any():
-            least[alone] = window_hashes(self.bytes, self.length)[at[alone]]
-        new = np.r_[True, (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])]
-        first = np.flatnonzero(new)
-        return at[first], np.diff(np.r_[first, len(at)]), least[first]
+    def runs(self, wanted: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, number of suffixes and least dealing hash of each run of the wanted
+        positions; a suffix without one has its own hash."""
+        low = np.zeros(1 << 16, bool)
+        low[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
+        starts, firsts, names, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+        last, last_name = -2, _NO_HASH
+        for lo, hi in blocks(len(wanted)):
+            at = np.flatnonzero(wanted[lo:hi])
+            if not len(at):
+                continue
+            least = sliding_min(self.dealing(lo, min(hi + self.v - 1, len(wanted)), hot, low, buckets), self.v)[at]
+            alone = least == _NO_HASH
+            if alone.any():
+                least[alone] = window_hashes(self.bytes[lo : hi + self.length - 1], self.length)[at[alone]]
+            at += lo
+            first = np.flatnonzero(np.r_[at[0] != last + 1 or least[0] != last_name, (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])])
+            starts.append(at[first])
+            firsts.append(first + n)
+            names.append(least[first])
+            n, last, last_name = n + len(at), at[-1], least[-1]
+        return np.concatenate(starts), np.diff(np.r_[np.concatenate(firsts), n]), np.concatenate(names)
 
     def texts(self, start: np.ndarray, count: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct texts of the runs, each one's first run and smallest id; for each
@@ -213,7 +286,7 @@ class Segment:
         blob, more = self.blob, self.length - 1
         place = np.fromiter((known.setdefault(blob[s : s + c + more], len(known)) for s, c in zip(start.tolist(), count.tolist(), strict=True)), np.int64, len(start))
         least = np.full(len(known), _LAST, np.int64)
-        np.minimum.at(least, place, self.ids[self.doc[start]])
+        np.minimum.at(least, place, self.ids[self.doc(start)])
         first = np.full(len(known), len(start), np.int64)
         np.minimum.at(first, place, np.arange(len(start)))
         return list(known), first, least, place
@@ -235,15 +308,6 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
 
 
-def _differ(keys: np.ndarray, order: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-    """Whether each row in this order differs from the one before it (but the first)."""
-    out = np.empty(max(len(order) - 1, 0), bool)
-    for at in range(0, len(out), block):
-        rows = keys[order[at : at + block + 1]]
-        out[at : at + block] = (rows[1:] != rows[:-1]).any(1)
-    return out
-
-
 def sort_block(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For every suffix of ``length`` bytes or more of distinct texts, in order of the
     texts: the smallest id of a text that has its first ``length`` bytes. Also the
@@ -252,28 +316,50 @@ def sort_block(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.nda
     limits = np.r_[0, np.cumsum(counts)]
     blob = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.r_[0, np.cumsum([len(t) for t in texts])][:-1]
-    at = np.repeat(begin - limits[:-1], counts) + np.arange(limits[-1])
-    words = -(-length // 8)
-    keys = np.zeros((len(at), 8 * words), np.uint8)
-    keys[:, :length] = np.lib.stride_tricks.sliding_window_view(blob, length)[at]
-    keys = keys.view(np.uint64)
-    if sys.byteorder == "little":
-        keys.byteswap(inplace=True)
+    at = np.repeat((begin - limits[:-1]).astype(np.int32), counts)
+    at += np.arange(limits[-1], dtype=np.int32)
+    head = min(length, 8)
+    word, name = np.zeros(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for lo, hi in blocks(len(blob)):
+        x, y = np.searchsorted(at, (lo, hi))
+        here = at[x:y] - lo
+        name[x:y] = window_hashes(blob[lo : hi + length - 1], length)[here]
+        for i in range(head):  # the first bytes as a number
+            word[x:y] |= blob[lo + i :][here].astype(np.uint64) << np.uint64(56 - 8 * i)
     # by the first word, ties by a name of the whole: equal strings become neighbours
-    name = window_hashes(blob, length)[at] if len(blob) else np.empty(0, np.uint64)
-    order = np.lexsort((name, keys[:, 0]))
-    other, name, word = _differ(keys, order), name[order], keys[order, 0]
-    if (other & (name[1:] == name[:-1]) & (word[1:] == word[:-1])).any():
-        order = np.lexsort(keys.T[::-1])  # two strings of one name: by all words
-        other = _differ(keys, order)
-    first = np.flatnonzero(np.r_[True, other])
-    owner = np.repeat(ids, counts)[order]
-    least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.r_[first, len(at)]))
-    out = np.empty(len(at), np.int64)
-    out[order] = least
+    order = np.lexsort((name, word))
+    new = np.ones(len(order), bool)
+    for lo, hi in blocks(max(len(order) - 1, 0)):
+        mine = order[lo : hi + 1]
+        new[lo + 1 : hi + 1] = (np.diff(word[mine]) != 0) | (np.diff(name[mine]) != 0)
+    del word, name
+    clash = _unlike(blob, at[order], ~new, length)
+    if clash.any():  # two strings of one word and name: those of its places by all bytes
+        first = np.flatnonzero(np.r_[new, True])
+        for i in np.unique(np.searchsorted(first, np.flatnonzero(clash), side="right")).tolist():
+            x, y = first[i - 1], first[i]
+            order[x:y] = sorted(order[x:y].tolist(), key=lambda i: blob[at[i] : at[i] + length].tobytes())
+        clash = _unlike(blob, at[order], ~new, length)
+    new |= clash
+    del at, clash
+    out = np.repeat(ids, counts)
+    for lo, hi, first in whole_blocks(new):
+        mine = order[lo:hi]
+        out[mine] = np.repeat(np.minimum.reduceat(out[mine], first), np.diff(np.r_[first, hi - lo]))
     return out, limits
 
 
+def _unlike(blob: np.ndarray, at: np.ndarray, asked: np.ndarray, length: int, block: int = 1 << 15) -> np.ndarray:
+    """Which of the places asked for hold other ``length`` bytes than the place before."""
+    out = np.zeros(len(at), bool)
+    asked = np.flatnonzero(asked)
+    strings = np.lib.stride_tricks.sliding_window_view(blob, length) if len(asked) else blob
+    for lo in range(0, len(asked), block):
+        mine = asked[lo : lo + block]
+        out[mine] = (strings[at[mine]] != strings[at[mine - 1]]).any(1)
+    return out
+
+
 def _firsts(ranked: np.ndarray) -> np.ndarray:
     """Where each value of a sorted array starts."""
     return np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)])
@@ -398,7 +484,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     def sampled(path: str) -> pa.RecordBatch:
         s = Segment(path, key, text, length)
         found, bucket, place = s.sample_names(n_names)
-        ids = s.ids[s.doc[s.samples]]
+        ids = s.ids[s.doc(s.samples)]
         low, high = np.full(len(found), _LAST, np.int64), np.full(len(found), np.iinfo(np.int64).min)
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
@@ -434,7 +520,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         return path, s, start, count, texts, ids, of, deal, order, replies[2]
 
     def runs(rows: pa.Table) -> pa.Table:
-        path, s, start, count, texts, ids, of, deal, order, _ = opened(rows)
+        path, _, _, _, texts, ids, _, deal, order, _ = opened(rows)
         made = []
         for b, x, y in _cuts(deal[order]):
             mine = order[x:y]
@@ -446,34 +532,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     def cleaned(rows: pa.Table) -> pa.Table:
         path, s, start, count, texts, ids, of, deal, order, replies = opened(rows)
         n = np.array([len(t) - length + 1 for t in texts], np.int64)
-        goes = [np.empty(0, bool)] * len(texts)
-        for b, x, y in _cuts(deal[order]):
-            mine = order[x:y]
-            flags = np.split(_unbits(replies[b], int(n[mine].sum())), np.cumsum(n[mine])[:-1])
-            for i, f in zip(mine.tolist(), flags, strict=True):
-                goes[i] = f
-        edge = np.zeros(len(s.bytes) + 1, np.int32)
-        if len(start):
-            all_flags = np.concatenate([goes[i] for i in of.tolist()])
-            later = np.repeat(s.ids[s.doc[start]] > ids[of], count)
-            ends = np.cumsum(count)
-            at = np.repeat(start - (ends - count), count) + np.arange(ends[-1])
-            at = at[all_flags | later]
-            edge += np.bincount(at, minlength=len(edge)).astype(np.int32)
-            edge -= np.bincount(at + length, minlength=len(edge)).astype(np.int32)
-        gone = np.cumsum(edge[:-1]) > 0
-        removed = np.r_[0, np.cumsum(gone)]
-        removed = removed[s.starts[1:]] - removed[s.starts[:-1]]
-        opens = gone & ~np.r_[False, gone[:-1]]
+        # flags of all suffixes of the texts, in this order; where each text's begin
+        flags = [_unbits(replies[b], int(n[order[x:y]].sum())) for b, x, y in _cuts(deal[order])]
+        flags = np.concatenate([np.empty(0, bool), *flags])
+        begin = np.empty(len(texts), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        del texts, replies
+        begin, later, s.hashes = begin[of], s.ids[s.doc(start)] > ids[of], None
+        gone = s.gone(start, count, begin, flags, later)
+        removed = s.of_docs(gone)
+        opens = gone & ~np.r_[False, gone[:-1]][: len(gone)]
         inner = s.starts[:-1][s.sizes > 0]
         opens[inner] = gone[inner]  # a run ends with its document
-        spans = np.r_[0, np.cumsum(opens)]
-        spans = spans[s.starts[1:]] - spans[s.starts[:-1]]
+        spans = s.of_docs(opens)
+        del opens, flags
         left = s.sizes - removed
         if whole_characters and gone.any():
             gone = s.cut_characters(gone)
-            lost = np.r_[0, np.cumsum(gone)]
-            left = s.sizes - (lost[s.starts[1:]] - lost[s.starts[:-1]])
+            left = s.sizes - s.of_docs(gone)
         kept = s.bytes[~gone].tobytes()
         ends = np.cumsum(left).tolist()
         parts = [kept[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]

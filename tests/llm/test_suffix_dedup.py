@@ -1,10 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gondola.llm import queries, suffix_dedup
+from gondola.llm.runtime import store_table
 
 
 def brute(docs, length=50):
@@ -123,3 +126,88 @@ def test_cut_characters_go_whole_and_genuine_ones_stay(spark, rows_of):
         assert bytes(whole[i]["kept"]) == out and out.decode() is not None
         assert [whole[i][c] for c in ("n_bytes", "n_removed", "n_spans")] == [plain[i][c] for c in ("n_bytes", "n_removed", "n_spans")]
     assert cut
+
+
+def most_bytes(run):
+    """What is held at most during the call, beside what was before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_takes_few_bytes_for_each_of_its_own():
+    rng = np.random.default_rng(1)
+    texts = [bytes(x) for x in rng.integers(97, 101, (500, 4000), dtype=np.uint8)]
+    held = most_bytes(lambda: suffix_dedup.sort_block(texts, np.arange(len(texts)), 50))
+    assert held < 50 * sum(map(len, texts))  # the strings themselves take 50 for each suffix
+
+
+def test_a_segment_takes_few_bytes_for_each_of_its_own(tmp_path):
+    rng = np.random.default_rng(2)
+    texts = [bytes(x).decode() for x in rng.integers(97, 101, (1000, 4000), dtype=np.uint8)] + [None, "", "é" * 60]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    store_table(path := f"file://{tmp_path}/segment", table)
+
+    def steps():
+        s = suffix_dedup.Segment(path, "doc_id", "text", 50)
+        found, _, place = s.sample_names(4)
+        start, count, _ = s.runs(s.candidates(np.ones(len(found), bool), place), np.empty(0, np.uint64), 4)
+        gone = np.zeros(len(s.bytes), bool)
+        gone[start] = True
+        s.cut_characters(gone)
+
+    assert most_bytes(steps) < 30 * sum(len(t or "") for t in texts)
+
+
+def test_strings_of_one_name_are_told_apart(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab") for _ in range(40)).encode() for _ in range(60)]
+    ids = np.array([rng.randint(0, 99) for _ in texts])
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda a, n: np.zeros(len(a), np.uint64))
+    first, _ = suffix_dedup.sort_block(texts, ids, 12)
+    least = {}
+    for t, i in zip(texts, ids.tolist(), strict=True):
+        for at in range(len(t) - 11):
+            least[t[at : at + 12]] = min(i, least.get(t[at : at + 12], i))
+    assert first.tolist() == [least[t[at : at + 12]] for t in texts for at in range(len(t) - 11)]
+
+
+def test_blocks_change_nothing(tmp_path, monkeypatch):
+    """Blocks so small that documents, runs, classes and characters go over their ends."""
+    rng = random.Random(7)
+    bits = ["".join(rng.choice("abé€😀") for _ in range(n)) for n in (9, 30, 70)]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 4))) for _ in range(60)] + [None, ""]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    store_table(path := f"file://{tmp_path}/segment", table)
+
+    def steps():
+        s = suffix_dedup.Segment(path, "doc_id", "text", 20)
+        found, bucket, place = s.sample_names(3)
+        wanted = s.candidates(np.arange(len(found)) % 5 == 0, place)
+        hot = suffix_dedup.hot_keys(np.unique(s.hashes[s.hashes < suffix_dedup.DEALS])[::3], 3)
+        start, count, least = s.runs(wanted, np.sort(hot), 3)
+        part, _, ids, of = s.texts(start, count)
+        first, limits = suffix_dedup.sort_block(part, ids, 20)
+        gone = s.gone(start, count, limits[:-1][of], first < np.repeat(ids, np.diff(limits)), s.ids[s.doc(start)] > ids[of])
+        return [s.samples, wanted, start, count, least, first, gone, s.cut_characters(gone), s.of_docs(gone)]
+
+    whole = steps()
+    assert all(x.any() for x in whole)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, steps(), strict=True))
+
+
+@pytest.mark.parametrize("n", [8, 20, 50])
+def test_hashes_at_the_end_of_the_last_block(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    text = rng.integers(0, 256, 200, dtype=np.uint8)
+    for block in (1 << 18, 64):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        for size in range(200):
+            found = suffix_dedup.window_hashes(text[:size], n)
+            assert len(found) == size
+            assert all(found[at] == suffix_dedup.window_hashes(text[at : at + n], n)[0] for at in range(0, size - n + 1, 31))
