@@ -483,13 +483,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
     def sampled(path: str) -> pa.RecordBatch:
         s = Segment(path, key, text, length)
+        often, hot_bucket, times = s.repeated(n_names)
         found, bucket, place = s.sample_names(n_names)
         ids = s.ids[s.doc(s.samples)]
+        del s
         low, high = np.full(len(found), _LAST, np.int64), np.full(len(found), np.iinfo(np.int64).min)
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
         several = low < high
-        often, hot_bucket, times = s.repeated(n_names)
+        del ids, low, high, place
         buckets = np.union1d(bucket, hot_bucket)
         cut = [np.searchsorted(b, buckets, side=side).tolist() for b in (bucket, hot_bucket) for side in ("left", "right")]
         short, often, times = (x.astype(np.uint32) for x in (found, often, times))
@@ -501,6 +503,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         for batch in batches:
             for path in batch["segment"].to_pylist():
                 yield sampled(path)  # one segment is held at a time
+                release()
 
     def opened(rows: pa.Table):
         """A segment's candidates, from its path and the replies so far."""
@@ -513,7 +516,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             replies[kind][b] = raw
         for b, x, y in _cuts(bucket):
             shared[x:y] = _unbits(replies[1][b], y - x)
-        start, count, least = s.runs(s.candidates(shared, place), hot, n_names)
+        wanted = s.candidates(shared, place)
+        del found, bucket, place, shared
+        start, count, least = s.runs(wanted, hot, n_names)
+        s.hashes = s.samples = None  # not needed any more
+        release()
         texts, first, ids, of = s.texts(start, count)
         deal = (least[first] % np.uint64(n_runs)).astype(np.int32)
         order = np.argsort(deal, kind="stable")
@@ -538,7 +545,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         begin = np.empty(len(texts), np.int64)
         begin[order] = np.cumsum(n[order]) - n[order]
         del texts, replies
-        begin, later, s.hashes = begin[of], s.ids[s.doc(start)] > ids[of], None
+        begin, later = begin[of], s.ids[s.doc(start)] > ids[of]
         gone = s.gone(start, count, begin, flags, later)
         removed = s.of_docs(gone)
         opens = gone & ~np.r_[False, gone[:-1]][: len(gone)]
