@@ -15,8 +15,11 @@ cell only as its first character; elsewhere in an open cell it is text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, islice, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,9 @@ SENT_RANGES = 100_000
 #: Characters of a piece that the first pass hands on; longer ones are read again where they are needed.
 PIECE = 1 << 20
 _BOM = "﻿"
+# A cell from its start; and lines after which none is open, from outside and from inside one.
+_CELL = r'(?:[^",][^,]*|"(?:[^"]|"")*"(?:[^",][^,]*)?)?'
+_CLOSED = (rf"\A{_CELL}(?:,{_CELL})*\z", rf'\A(?:[^"]|"")*"(?:[^",][^,]*)?(?:,{_CELL})*\z')
 _SURVEY = pa.schema([
     ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("out_end", pa.int32()), ("in_end", pa.int32()), ("out_none", pa.bool_()), ("in_cut", pa.bool_()),
     ("out_tail", pa.string()), ("in_head", pa.string()), ("in_tail", pa.string()), ("out_tail_long", pa.bool_()), ("in_head_long", pa.bool_()), ("in_tail_long", pa.bool_()),
@@ -56,63 +62,109 @@ def open_after(line: str, inside: bool) -> bool:
             return False
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str], bool]]:
+def _after(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``open_after`` of each line, from outside and from inside a cell."""
+    out, inside = np.zeros(len(lines), bool), np.ones(len(lines), bool)
+    at = np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False))
+    if len(at):
+        quoted = lines.take(pa.array(at)).cast(pa.binary())
+        out[at], inside[at] = (~pc.match_substring_regex(quoted, closed).to_numpy(zero_copy_only=False) for closed in _CLOSED)
+    return out, inside
+
+
+def _states(out: np.ndarray, inside: np.ndarray, begin: bool) -> np.ndarray:
+    """Whether a cell is open after each of the lines that follow each other, from
+    whether one is at the first one's start: the last fixed end, as ``_begun`` has it."""
+    flips = np.cumsum(out & ~inside)
+    fixed = np.maximum.accumulate(np.where(out == inside, np.arange(len(out)), -1))
+    known = fixed >= 0
+    return np.where(known, out[fixed], begin) ^ ((flips - np.where(known, flips[fixed], 0)) % 2 == 1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array, bool]]:
     """(file, start, length), lines, and whether it's the range's last piece; a range's
     lines follow each other, over batches too."""
     held: tuple | None = None
     for batch in batches:
-        files, starts, lengths, lines = (batch[i].to_pylist() for i in range(4))
-        extra = [batch[i].to_pylist() for i in range(4, batch.num_columns)]
-        begin = 0
-        for i in range(1, len(lines) + 1):
-            if i == len(lines) or (files[i], starts[i]) != (files[begin], starts[begin]):
-                key = (files[begin], starts[begin], lengths[begin], *(e[begin] for e in extra))
-                if held is not None and held[:2] != key[:2]:
-                    yield held, [], True
-                held = key
-                yield key, lines[begin:i], False
-                begin = i
+        n = batch.num_rows
+        if not n:
+            continue
+        files, starts, lines = (batch[i] for i in (0, 1, 3))
+        lines.validate(full=True)  # text that isn't UTF-8 is an error
+        same = pc.and_(pc.equal(files[1:], files[:-1]), pc.equal(starts[1:], starts[:-1])).to_numpy(zero_copy_only=False)
+        borders = [0, *(np.flatnonzero(~same.astype(bool)) + 1).tolist(), n]
+        for begin, end in pairwise(borders):
+            key = tuple(batch[i][begin].as_py() for i in range(batch.num_columns) if i != 3)
+            if held is not None and held[:2] != key[:2]:
+                yield held, lines[:0], True
+            held = key
+            yield key, lines[begin:end], False
     if held is not None:
-        yield held, [], True
+        yield held, pa.array([], pa.string()), True
 
 
 class _Cutter:
-    """Cuts a range's lines into records, from one beginning. Of what reaches over the
-    range's borders ``limit`` characters are held; more of it is only marked as long."""
+    """Cuts a range's lines into records, from one beginning. With a ``limit`` only what
+    reaches over the range's borders is made, and of that as many characters held; more
+    of it is only marked as long."""
 
     def __init__(self, inside: bool, limit: int | None = None) -> None:
         self.inside, self.limit = inside, limit
         self.cut = not inside  # whether the first true record end is behind
-        self.ended, self.head, self.head_long = 0, None, False
-        self.pending: list[str] = []
+        self.ended, self.head, self.head_long = False, None, False
+        self.pending: list[pa.Array] = []
         self.size, self.long = 0, False
 
-    def add(self, line: str) -> str | None:
-        """The record that the line ends, if it does and it began in this range."""
-        self.size += len(line) + 1
-        if self.limit is not None and self.size > self.limit:
-            self.pending, self.long = [], True
-        else:
-            self.pending.append(line)
-        self.inside = open_after(line, self.inside)
-        if self.inside:
-            return None
-        record, long = None if self.long else "\n".join(self.pending), self.long
-        self.pending, self.size, self.long = [], 0, False
-        self.ended += 1
-        if not self.cut:
-            self.head, self.head_long, self.cut = record, long, True
-            return None
-        return record
+    def add(self, lines: pa.Array, after: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+        """The records that the lines end, of those that began in this range."""
+        if not len(lines):
+            return []
+        states, begin, records = _states(*after, self.inside), 0, []
+        ends = np.flatnonzero(~states)
+        if len(ends):
+            if self.inside:  # ends what is pending
+                begin = int(ends[0]) + 1
+                self._hold(lines[:begin])
+                if self.cut:
+                    records += [] if self.limit is not None else [pa.array([self._text()], lines.type)]
+                else:
+                    self.head, self.head_long, self.cut = self._text(), self.long, True
+                self.pending, self.size, self.long, ends = [], 0, False, ends[1:]
+            if len(ends) and self.limit is None:
+                records.append(_joined(lines, begin, ends))
+            begin, self.ended = int(ends[-1]) + 1 if len(ends) else begin, True
+        self.inside = bool(states[-1])
+        self._hold(lines[begin:])
+        return records
+
+    def _hold(self, lines: pa.Array) -> None:
+        if self.long or not len(lines):
+            return
+        if self.limit is not None:
+            self.size += pc.sum(pc.utf8_length(lines)).as_py() + len(lines)
+            self.long = self.size > self.limit
+        self.pending = [] if self.long else [*self.pending, lines]
+
+    def _text(self) -> str | None:
+        return None if self.long else "\n".join(x for lines in self.pending for x in lines.to_pylist())
 
     def tail(self) -> str | None:
         """What the range begins and doesn't end."""
-        return "\n".join(self.pending) if self.inside and not self.long else None
+        return self._text() if self.inside else None
+
 
+def _joined(lines: pa.Array, begin: int, ends: np.ndarray) -> pa.Array:
+    """The records from line ``begin`` on, each up to one of the lines ``ends``."""
+    if len(ends) == ends[-1] + 1 - begin:
+        return lines[begin : begin + len(ends)]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([begin, *(ends + 1).tolist()], pa.int32()), lines), pa.scalar("\n", lines.type))
 
-def _first(start: int, lines: list[str], begun: bool) -> list[str]:
+
+def _first(start: int, lines: pa.Array, begun: bool) -> pa.Array:
     """The lines without a file's byte order mark."""
-    return [lines[0].removeprefix(_BOM), *lines[1:]] if start == 0 and not begun and lines else lines
+    if start or begun or not len(lines) or not lines[0].as_py().startswith(_BOM):
+        return lines
+    return pa.concat_arrays([pa.array([lines[0].as_py().removeprefix(_BOM)], lines.type), lines[1:]])
 
 
 def _survey(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -120,10 +172,9 @@ def _survey(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
     cutters: list[_Cutter] = []
     for key, lines, last in _blocks(batches):
         lines = _first(key[1], lines, bool(cutters))
-        cutters = cutters or [_Cutter(False, limit), _Cutter(True, limit)]
-        for line in lines:
-            for c in cutters:
-                c.add(line)
+        cutters, after = cutters or [_Cutter(False, limit), _Cutter(True, limit)], _after(lines)
+        for c in cutters:
+            c.add(lines, after)
         if last:
             out, in_ = cutters
             row = [*key, int(out.inside), int(in_.inside), not out.ended, in_.cut, out.tail(), in_.head, in_.tail(), out.long, in_.head_long, in_.long]
@@ -135,20 +186,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole records of each range, without a file's first one."""
     cutter, skip = None, 0
     for (_, start, _, inside), lines, last in _blocks(batches):
-        lines, made = _first(start, lines, cutter is not None), []
+        lines = _first(start, lines, cutter is not None)
         if cutter is None:
             cutter, skip = _Cutter(bool(inside)), int(start == 0)
-        for line in lines:
-            record = cutter.add(line)
-            if record is not None:
-                if skip:
-                    skip = 0
-                else:
-                    made.append(record.removesuffix("\r"))
+        for made in cutter.add(lines, _after(lines)):
+            made, skip = made[skip:], 0
+            if len(made):
+                yield pa.record_batch([made], ["record"])
         if last:
             cutter = None
-        if made:
-            yield pa.record_batch([pa.array(made, pa.string())], ["record"])
 
 
 def _long_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +203,7 @@ def _long_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (file, start, _, inside), lines, last in _blocks(batches):
         lines = _first(start, lines, cutter is not None)
         cutter = cutter or _Cutter(bool(inside))
-        for line in lines:
-            cutter.add(line)
+        cutter.add(lines, _after(lines))
         if last:
             tail = (cutter.tail(), 1 if cutter.cut else 0)
             found = [(t, at) for t, at in ((cutter.head, 0), tail) if t is not None]
@@ -212,8 +257,7 @@ def _over_borders(begun: DataFrame, lines: DataFrame) -> DataFrame:
     whole = short.withColumn("nth", F.sum("at").over(order)).groupBy("file", "nth").agg(F.sort_array(F.collect_list(F.struct("start", "at", "text"))).alias("x"), F.min("start").alias("start"))
     headers = begun.where("start = 0 and out_none").select("file", "start")
     record = F.array_join(F.col("x.text"), "\n")
-    bare = F.when(record.endswith("\r"), record.substr(F.lit(1), F.length(record) - 1)).otherwise(record)
-    return whole.join(headers, ["file", "start"], "left_anti").select(bare.alias("record"))
+    return whole.join(headers, ["file", "start"], "left_anti").select(record.alias("record"))
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -223,9 +267,10 @@ def header(spark: SparkSession, path: str) -> list[str]:
         return []
     n = 64
     while True:
-        lines = _first(0, [r.value for r in spark.read.text(files[0], lineSep="\n").head(n)], False)
-        cutter = _Cutter(False)
-        record = next((r for r in map(cutter.add, lines) if r is not None), None)
+        lines = [r.value for r in spark.read.text(files[0], lineSep="\n").head(n)]
+        lines = [lines[0].removeprefix(_BOM), *lines[1:]] if lines else lines
+        ends = accumulate(lines, lambda inside, line: open_after(line, inside), initial=False)
+        record = next(("\n".join(lines[: i + 1]) for i, inside in enumerate(islice(ends, 1, None)) if not inside), None)
         if record is not None or len(lines) < n:
             record = "\n".join(lines) if record is None else record
             break
@@ -236,11 +281,15 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader(io.StringIO(record.removesuffix("\r"))), [])
 
 
-def parsed(record: Column, names: list[str]) -> list[Column]:
-    """A record's cells as text columns; of equal names the last, as dictionaries have it."""
+def parsed(records: DataFrame, names: list[str]) -> DataFrame:
+    """The records' cells as text columns; of equal names the last, as dictionaries have
+    it. Records without quotes and line ends are split at commas, others parsed, once:
+    taken out of ``from_csv`` itself, each cell would parse its record anew."""
+    record, last = F.col("record"), {name: i for i, name in enumerate(names)}
+    odd = record.rlike('["\\r\\n\\x00]')
     cells = F.from_csv(record, ", ".join(f"c{i} string" for i in range(len(names))), {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
-    last = {name: i for i, name in enumerate(names)}
-    return [cells[f"c{i}"].alias(name) for name, i in last.items()]
+    both = records.withColumn("_odd", odd).select(F.when(F.col("_odd"), cells).alias("_parsed"), F.when(~F.col("_odd"), F.split(record, ",")).alias("_split"))
+    return both.select(*[F.coalesce(F.col(f"_parsed.c{i}"), F.nullif(F.get("_split", F.lit(i)), F.lit(""))).alias(name) for name, i in last.items()])
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
@@ -262,4 +311,6 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     same = F.when(F.col("_length") == F.col("length"), F.col("inside")).otherwise(F.raise_error(F.lit("the file's ranges changed between two passes; read it again")).cast("int"))
     known = _dealt(lines, starts, "left")
     cut = known.select("file", "start", "length", "value", same.alias("inside")).mapInArrow(_records, "record string")
-    return cut.unionByName(_over_borders(begun, lines)).where("record <> ''").select(*parsed(F.col("record"), names))
+    record = F.col("record")
+    bare = F.when(record.endswith("\r"), record.substr(F.lit(1), F.length(record) - 1)).otherwise(record)
+    return parsed(cut.unionByName(_over_borders(begun, lines)).select(bare.alias("record")).where("record <> ''"), names)

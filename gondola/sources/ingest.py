@@ -27,31 +27,28 @@ NO_VALUE = ("", "nan", "NaN", "None", "NULL", "#N/A", "N/A")
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
 
-def clean_text(c: Column) -> Column:
-    """Without white space around it; null where it stands for no value."""
-    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(bare.isin(*NO_VALUE), None).otherwise(bare)
+# Fixed value: how a date is usually written.
+DATE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
 
 
-def clean_number(c: Column) -> Column:
-    """The number as a double; null for anything else, infinity and NaN included."""
-    text = clean_text(c)
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, "_", "").try_cast("double"))
+def _bare(c: Column) -> Column:
+    """Without white space around it."""
+    # a pattern's end may also stand before a last line end of these, which is no white space
+    odd = c.endswith("\x85") | c.endswith("\u2028") | c.endswith("\u2029")
+    return F.when(odd, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(F.btrim(c, F.lit(" \t\n\x0b\f\r")))
 
 
-def typed(c: Column, kind: T.DataType) -> tuple[Column, Column]:
-    """The value in the column's type, and whether it was too large for it."""
-    if isinstance(kind, T.StringType):
-        return clean_text(c), F.lit(False)
-    if isinstance(kind, T.DateType):
-        return F.try_to_date(clean_text(c), "yyyy-M-d"), F.lit(False)
-    number = clean_number(c)
+def _digits(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit(""))
+
+
+def _number_value(exact: Column, number: Column, kind: T.DataType) -> Column:
+    """The number in the column's type, null if it is too large. What surely is isn't
+    cast: a cast that fails costs as much as a hundred others."""
     if isinstance(kind, T.DecimalType):
-        value = F.regexp_replace(clean_text(c), "_", "").try_cast(T.DecimalType(38, 12)).try_cast(kind)
-        value = F.when(number.isNotNull(), F.coalesce(value, number.try_cast(kind)))
-    else:
-        value = F.round(number).try_cast(kind)
-    return value, number.isNotNull() & value.isNull()
+        most = 10 ** (kind.precision - kind.scale)
+        return F.coalesce(F.when(F.abs(exact) < most, exact.try_cast(kind)), F.when(F.abs(number) < 2.0 * most, number.try_cast(kind)))
+    return F.when(F.abs(number) < 2.0**32, F.round(number).try_cast(kind))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -62,20 +59,49 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _marked(raw: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """The raw rows with ``_bad``, and the table's columns over them."""
+    """The raw rows with ``_bad``, and the table's columns over them. Each step of a cell
+    is a column of its own, so that what several expressions ask of it is computed once:
+
+    text: null where it stands for no value. number: as a double; null for anything
+    else, infinity and NaN included; exact: as a decimal. A date as it is usually written
+    is put together from its numbers, for a parser's errors cost more than the dates;
+    other texts go through it.
+    """
     there = set(raw.columns)
-    pairs = [(target, *typed(F.col(f"`{source}`") if source in there else F.lit(None).cast("string"), kind)) for source, target, kind in LOADED]
+    held = {target: (F.col(f"`{source}`"), kind) for source, target, kind in LOADED if source in there}
+    dates = [t for t, (_, kind) in held.items() if isinstance(kind, T.DateType)]
+    numbers = [t for t, (_, kind) in held.items() if not isinstance(kind, T.StringType | T.DateType)]
+    decimals = [t for t in numbers if isinstance(held[t][1], T.DecimalType)]
+    name = "_{} of {}".format
+    of = lambda step, t: F.col(f"`{name(step, t)}`")
+    rows = raw.withColumns({name("bare", t): _bare(c) for t, (c, _) in held.items()})
+    rows = rows.withColumns({name("text", t): F.when(~of("bare", t).isin(*NO_VALUE), of("bare", t)) for t in held})
+    rows = rows.withColumns(
+        {name("number", t): F.when(of("text", t).rlike(NUMBER), _digits(of("text", t)).try_cast("double")) for t in numbers} | {name("usual", t): of("text", t).rlike(DATE) for t in dates}
+    )
+    rows = rows.withColumns(
+        {name("exact", t): F.when(of("number", t).isNotNull(), _digits(of("text", t)).try_cast(T.DecimalType(38, 12))) for t in decimals}
+        | {name("month", t): F.when(of("usual", t), F.substring_index(F.substring(of("text", t), 6, 5), "-", 1).cast("int")) for t in dates}
+        | {name("day", t): F.when(of("usual", t), F.substring_index(of("text", t), "-", -1).cast("int")) for t in dates}
+    )
+    rows = rows.withColumns(
+        {name("value", t): _number_value(of("exact", t) if t in decimals else F.lit(None), of("number", t), held[t][1]) for t in numbers}
+        | {name("first", t): F.when(of("month", t).between(1, 12), F.make_date(F.substring(of("text", t), 1, 4).cast("int"), of("month", t), F.lit(1))) for t in dates}
+    )
     bad = F.lit(False)
-    for _, _, over in pairs:
-        bad = bad | F.coalesce(over, F.lit(False))
-    return raw.withColumn("_bad", bad), [v.cast(kind).alias(t) for (t, v, _), (_, _, kind) in zip(pairs, LOADED, strict=True)]
+    for t in numbers:
+        bad = bad | (of("number", t).isNotNull() & of("value", t).isNull())
+    usual = {t: F.when(of("day", t).between(1, F.day(F.last_day(of("first", t)))), F.date_add(of("first", t), of("day", t) - 1)) for t in dates}
+    rows = rows.withColumns({name("value", t): F.when(of("usual", t), usual[t]).otherwise(F.try_to_date(of("text", t), "yyyy-M-d")) for t in dates} | {"_bad": bad})
+    value = {t: of("value" if t in dates or t in numbers else "text", t) for t in held}
+    return rows, [value.get(t, F.lit(None)).cast(kind).alias(t) for _, t, kind in LOADED]
 
 
 def clean(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the table without id and created_at, quarantined raw rows). Unknown
     columns are ignored, missing ones null."""
     marked, columns = _marked(raw)
-    return marked.where(~F.col("_bad")).select(*columns), marked.where("_bad").drop("_bad")
+    return marked.where(~F.col("_bad")).select(*columns), marked.where("_bad").select(*[F.col(f"`{c}`") for c in raw.columns])
 
 
 # What a column holds where an insert doesn't name it.
@@ -124,28 +150,40 @@ class LoadReport:
 
 def stage(raw: DataFrame, path: str) -> None:
     """Parse and clean once: good rows as the table has them in one folder of ``path``,
-    the others as they were read in another."""
+    the others as they were read in another. Columns are numbered, for the names of both
+    may be the same but for case."""
     marked, columns = _marked(raw)
     spark = raw.sparkSession
-    good = F.when(~F.col("_bad"), F.struct(*columns))
-    bad = F.when(F.col("_bad"), F.struct(*[F.col(f"`{c}`") for c in raw.columns]))
-    kept = spark.conf.get(_WRITERS)
-    spark.conf.set(_WRITERS, "2")  # two files for a task, in the order of its rows
+    good = [c.alias(f"good_{i}") for i, c in enumerate(c for c, f in zip(columns, LOADED, strict=True) if f in _stored(raw))]
+    bad = [F.when(F.col("_bad"), F.col(f"`{c}`")).alias(f"bad_{i}") for i, c in enumerate(raw.columns)]
+    kept = {k: spark.conf.get(k) for k in _STAGING}
+    for k, v in _STAGING.items():
+        spark.conf.set(k, v)
     try:
-        marked.select(good.alias("good"), bad.alias("bad"), "_bad").write.mode("overwrite").partitionBy("_bad").parquet(path)
+        marked.select(*good, *bad, "_bad").write.mode("overwrite").partitionBy("_bad").parquet(path)
     finally:
-        spark.conf.set(_WRITERS, kept)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+# Two files for a task, in the order of its rows (with as many files as this they would be
+# sorted); and methods of a size that the JVM compiles, however many columns there are.
+_STAGING = {"spark.sql.maxConcurrentOutputFileWriters": "3", "spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
-_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+def _stored(raw: DataFrame) -> list[tuple[str, str, T.DataType]]:
+    """Of LOADED what a load of these rows writes: the columns they have. Files without a
+    column are read as nulls, and dozens of columns of nulls cost more to write than
+    the others."""
+    return [f for f in LOADED if f[0] in raw.columns] or LOADED[:1]  # a file has a column
 
 
 def _staged(spark: SparkSession, path: str, bad: bool, raw: DataFrame) -> DataFrame:
     """The rows of one kind, without a file if there are none."""
-    kind = "bad" if bad else "good"
-    fields = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns]) if bad else T.StructType([f for f in PRICING.fields if f.name not in ("id", "created_at")])
-    schema = T.StructType([T.StructField(kind, fields), T.StructField("_bad", T.BooleanType())])
-    return spark.read.schema(schema).parquet(path).where(F.col("_bad") == bad).select(f"{kind}.*")
+    fields = [(c, T.StringType()) for c in raw.columns] if bad else [(target, kind) for _, target, kind in _stored(raw)]
+    names = {f"{'bad' if bad else 'good'}_{i}": c for i, (c, _) in enumerate(fields)}
+    schema = T.StructType([*[T.StructField(n, kind) for n, (_, kind) in zip(names, fields, strict=True)], T.StructField("_bad", T.BooleanType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("_bad") == bad).select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def load(spark: SparkSession, path: str, table: str, truncate: bool = False, name: str = "csv_load", run_id: str | None = None, dead_after: dt.timedelta = dt.timedelta(hours=12)) -> LoadReport:
@@ -166,7 +204,7 @@ def load(spark: SparkSession, path: str, table: str, truncate: bool = False, nam
         raw, staged = read_csv(spark, path), target.staged(run_id)
         stage(raw, staged)
         rows, inserted = numbered(_staged(spark, staged, False, raw))
-        with_defaults(rows).write.mode("overwrite").parquet(target.data(run_id))
+        with_defaults(rows).select("id", *[t for _, t, _ in _stored(raw)], "created_at").write.mode("overwrite").parquet(target.data(run_id))
         bad = _staged(spark, staged, True, raw)
         errors = bad.count()
         if errors:

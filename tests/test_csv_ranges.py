@@ -91,3 +91,26 @@ def test_open_cells_by_brute_force():
                 else:
                     state = "in" if c == '"' else "start" if c == "," else "text"
             assert csv_ranges.open_after(line, inside) == (state == "in"), (line, inside)
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b,c\n1,,"x\n2"\n3,4\n')
+    found = csv_ranges.read_ranges(spark, f"{tmp_path}/x.csv")
+    assert rows(found) == [("1", None, "x\n2"), ("3", "4", None)]
+    # once where a range holds the record, once where it reaches over borders; not for each column
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 2
+
+
+def test_whole_blocks_of_lines_as_line_by_line():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    lines = ["".join(rng.choice('a,""é') for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    after = csv_ranges._after(pa.array(lines))
+    for begin in (False, True):
+        assert after[int(begin)].tolist() == [csv_ranges.open_after(x, begin) for x in lines]
+        inside, expected = begin, []
+        for x in lines:
+            inside = csv_ranges.open_after(x, inside)
+            expected.append(inside)
+        assert csv_ranges._states(*after, begin).tolist() == expected

@@ -128,3 +128,26 @@ def test_defaults_of_the_other_tables(spark):
         ingest.with_defaults(alert.drop("message"), "alerts")
     with pytest.raises(Exception, match="message is null"):
         ingest.with_defaults(alert.withColumn("message", F.lit(None).cast("string")), "alerts").collect()
+
+
+def test_a_load_stores_the_columns_of_its_file(spark, tmp_path, feed):
+    table = f"{tmp_path}/t"
+    ingest.load(spark, feed("a", 3, 1), table, run_id="r")
+    assert spark.read.parquet(VersionedTable(spark, table).data("r")).columns == ["id", "scraper", "marca", "competitor_full_price", "created_at"]
+    (tmp_path / "other").write_text("Unknown\n1\n2\n")
+    assert ingest.load(spark, f"{tmp_path}/other", table).inserted == 2
+    rows = ingest.read_prices(spark, table)
+    assert rows.schema.fieldNames() == PRICING.fieldNames() and rows.where("scraper is null and marca is null").count() == 2
+    assert ids(spark, table) == [1, 2, 3, 4, 5]
+
+
+def test_staging_writes_rows_of_both_kinds_unsorted(spark, tmp_path):
+    """Sorted by kind, all good rows of a task would be held back; and both kinds' columns are flat."""
+    raw = spark.range(1000).selectExpr("if(id % 7 = 0, '1e12', '5') as Competitor_Full_Price", "cast(id as string) as Marca").coalesce(1)
+    before = {k: spark.conf.get(k) for k in ingest._STAGING}
+    ingest.stage(raw, f"{tmp_path}/s")
+    assert before == {k: spark.conf.get(k) for k in before}
+    assert int(ingest._STAGING["spark.sql.maxConcurrentOutputFileWriters"]) > 2 and "good_0" in spark.read.parquet(f"{tmp_path}/s").columns
+    good, bad = (ingest._staged(spark, f"{tmp_path}/s", kind, raw) for kind in (False, True))
+    assert [int(r.marca) for r in good.collect()] == [i for i in range(1000) if i % 7]
+    assert {(r.Competitor_Full_Price, int(r.Marca)) for r in bad.collect()} == {("1e12", i) for i in range(0, 1000, 7)}
