@@ -322,23 +322,30 @@ _add(
 )
 
 
-def _two_loads(p: DataFrame, truncate: bool) -> tuple[str, list]:
-    """Two loads of the same file, some of whose rows overflow a column: the table's
-    path and what the loads report."""
-    from gondola.sources.ingest import load
+def _odd_csv(p: DataFrame) -> str:
+    """A CSV file some of whose rows overflow a column."""
     from gondola.sources.paths import new_path
 
-    spark = p.sparkSession
-    path, table = new_path(spark, "csv"), new_path(spark, "prices")
+    path = new_path(p.sparkSession, "csv")
     over = F.when(F.col("id") % 50 == 3, "99999999999").alias("Gap_Final_Price_Pct")
     _odd_cells(p, over).write.csv(path, header=True, quote='"', escape='"')
+    return path
+
+
+def _two_loads(spark: SparkSession, path: str, truncate: bool) -> tuple[str, list]:
+    """Two loads of the same file: the table's path and what the loads report."""
+    from gondola.sources.ingest import load
+    from gondola.sources.paths import new_path
+
+    table = new_path(spark, "prices")
     return table, [load(spark, path, table, truncate=truncate) for _ in range(2)]
 
 
 def _loaded(p: DataFrame, truncate: bool) -> DataFrame:
     from gondola.sources.ingest import quarantined, read_prices, run_log
 
-    spark, table = p.sparkSession, _two_loads(p, truncate)[0]
+    spark = p.sparkSession
+    table = _two_loads(spark, _odd_csv(p), truncate)[0]
     counts = lambda df, what, key: df.agg(F.count("*").alias("stored"), F.countDistinct(key).alias("distinct_stored")).select(F.lit(what).alias("what"), "stored", "distinct_stored")
     log = run_log(spark, table).groupBy(F.concat(F.lit("runs "), "status").alias("what")).agg(F.sum("rows_inserted").alias("stored"), F.count("*").alias("distinct_stored"))
     return counts(read_prices(spark, table), "table", "style_color").unionByName(counts(quarantined(spark, table), "quarantine", "StyleColor")).unionByName(log)
@@ -348,16 +355,16 @@ def _serial_ids(p: DataFrame) -> DataFrame:
     """Ids after two loads, and after a truncating one."""
     from gondola.sources.ingest import read_prices
 
-    out = []
+    path, out = _odd_csv(p), []  # all four loads are of one file
     for what, truncate in (("two loads", False), ("truncated", True)):
-        rows = read_prices(p.sparkSession, _two_loads(p, truncate)[0])
+        rows = read_prices(p.sparkSession, _two_loads(p.sparkSession, path, truncate)[0])
         out.append(rows.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.count("created_at").alias("dated")).withColumn("what", F.lit(what)))
     return out[0].unionByName(out[1])
 
 
 def _reports(p: DataFrame) -> DataFrame:
     """What the loads say of themselves; the last report again for a run that is done."""
-    table, reports = _two_loads(p, False)
+    table, reports = _two_loads(p.sparkSession, _odd_csv(p), False)
     from gondola.sources.ingest import load
 
     reports.append(load(p.sparkSession, "not read", table, run_id=reports[-1].run_id))

@@ -151,3 +151,12 @@ def test_staging_writes_rows_of_both_kinds_unsorted(spark, tmp_path):
     good, bad = (ingest._staged(spark, f"{tmp_path}/s", kind, raw) for kind in (False, True))
     assert [int(r.marca) for r in good.collect()] == [i for i in range(1000) if i % 7]
     assert {(r.Competitor_Full_Price, int(r.Marca)) for r in bad.collect()} == {("1e12", i) for i in range(0, 1000, 7)}
+
+
+def test_four_loads_of_one_file(spark, sf_dir, monkeypatch):
+    from gondola.plans import catalogue
+
+    real, made = catalogue._odd_csv, []
+    monkeypatch.setattr(catalogue, "_odd_csv", lambda p: made.append(real(p)) or made[-1])
+    found = {r.what: r for r in catalogue.QUERIES["A12_serial_ids"](spark, sf_dir).collect()}
+    assert len(made) == 1 and found["two loads"].last == 2 * found["truncated"].last == found["two loads"].ids
